@@ -29,3 +29,114 @@ def op4_overlap_tokens(spark, sf_dir):
 
     got = count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return got.withColumn("over_limit", F.col("n_tokens") > 2048)
+
+
+RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
+
+
+def _rules_sql() -> str:
+    values = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in RULES)
+    host = r"translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    path = r"regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2)"
+    return f"""WITH r(h, p, v) AS (VALUES {values}), u AS (SELECT page_id, {host} AS host, {path} AS path FROM pages),
+    d AS (SELECT DISTINCT host, path FROM u),
+    f AS (SELECT host, path, arg_max(struct_pack(rule := h || p, verdict := v), length(h) * 1000 + length(p) * 1000 + length(h)) AS best FROM d JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY ALL)
+    SELECT page_id, u.host, u.path, best.rule AS rule, coalesce(best.verdict, 'allow') AS verdict FROM u LEFT JOIN f ON u.host = f.host AND u.path = f.path"""
+
+
+@query(_rules_sql())
+def op6_url_cascade(spark, sf_dir):
+    """Rules over every page's URL."""
+    from meshloom.llm.urls import apply_rules
+
+    return apply_rules(read(spark, sf_dir, "pages"), spark.createDataFrame(RULES, "host string, path string, verdict string"))
+
+
+@query()
+def op7_superminhash(spark, sf_dir):
+    """Near-duplicate groups of all documents."""
+    from meshloom.llm.neardup import groups
+
+    return groups(read(spark, sf_dir, "documents"))
+
+
+def _lines_sql() -> str:
+    h = "CAST(('0x' || substr(md5(line), 1, 7)) AS BIGINT)"
+    return f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents WHERE text <> ''),
+    b AS (SELECT *, CASE WHEN ({h} + 3 * coalesce(lag({h}) OVER w, 0)) % 3 = 0 THEN 1 ELSE 0 END AS stop FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+    c AS (SELECT *, coalesce(sum(stop) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM b),
+    k AS (SELECT doc_id, pos, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS body FROM c GROUP BY ALL),
+    m AS (SELECT *, n >= 2 AND length(trim(body, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) > 0 AND row_number() OVER (PARTITION BY body ORDER BY doc_id, pos) > 1 AS gone FROM k)
+    SELECT doc_id, coalesce(n, 0) AS n_lines, coalesce(r, 0) AS n_removed_lines, sha256(coalesce(t, '')) AS kept_sha256 FROM (SELECT doc_id FROM documents) LEFT JOIN
+    (SELECT doc_id, CAST(sum(n) AS BIGINT) AS n, CAST(sum(CASE WHEN gone THEN n ELSE 0 END) AS BIGINT) AS r, string_agg(body, chr(10) ORDER BY pos) FILTER (NOT gone) AS t FROM m GROUP BY doc_id) USING (doc_id)"""
+
+
+@query(_lines_sql())
+def op8_line_chunks(spark, sf_dir):
+    """Lines cut from each document, and a digest of what stays (null: of the empty text)."""
+    from meshloom.llm.lines import dedup_report
+
+    got = dedup_report(read(spark, sf_dir, "documents"))
+    return got.select("doc_id", "n_lines", "n_removed_lines", F.sha2(F.coalesce("kept_text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
+def _contamination_sql() -> str:
+    def words(table, key):
+        return f"SELECT {key}, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w FROM {table}"
+
+    return f"""WITH d AS MATERIALIZED ({words('documents', 'doc_id')}), b AS MATERIALIZED ({words('benchmark', 'item_id')}),
+    wb AS (SELECT DISTINCT item_id, least(len(w), 13) AS n, unnest(list_transform(range(1, greatest(len(w) - 12, 1) + 1), lambda i: array_to_string(list_slice(w, i, i + 12), ' '))) AS k FROM b WHERE len(w) > 0),
+    sizes AS (SELECT DISTINCT n FROM wb),
+    wd AS (SELECT doc_id, n, unnest(range(1, len(w) - n + 2)) AS i, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(list_slice(w, i, i + n - 1), ' '))) AS k FROM d, sizes WHERE len(w) >= n),
+    m AS MATERIALIZED (SELECT doc_id, i, wd.n, item_id FROM wd JOIN wb ON wd.k = wb.k AND wd.n = wb.n),
+    h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM (SELECT DISTINCT doc_id, i, n FROM m)) GROUP BY doc_id),
+    t AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM m) GROUP BY doc_id)
+    SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+    FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)"""
+
+
+@query(_contamination_sql())
+def op9_positional_index(spark, sf_dir):
+    """Benchmark windows in every document."""
+    from meshloom.llm.decontam import contamination
+
+    got = contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return got.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
+
+
+def _quality_sql() -> str:
+    from meshloom.llm import quality as q
+
+    white = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    count = lambda chars: f"CAST(length(t) - length(translate(t, '{chars}', '')) AS BIGINT)"
+    grid = ", ".join(f"({i}, CAST({c} AS DOUBLE))" for i, c in enumerate(q.GRID))
+    rules = " UNION ALL ".join(f"SELECT *, '{r}' AS rule, coalesce(CAST({a} AS DOUBLE) / nullif({b}, 0), 0) AS x FROM f" for r, (a, b) in q.RULES.items())
+    tail = f"CASE WHEN k_good >= n_good * CAST({q.ALPHA} AS DOUBLE) THEN 1.0 ELSE list_sum(list_transform(range(0, k_good + 1), lambda j: exp(lgamma(n_good + 1) - lgamma(j + 1) - lgamma(n_good - j + 1) + j * ln({q.ALPHA}) + (n_good - j) * ln(1 - {q.ALPHA})))) END"
+    return f"""WITH t AS MATERIALIZED (SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS t, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+    rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, k) AS c FROM (SELECT doc_id, unnest(range(1, len(w) - 3)) AS i, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(list_slice(w, i, i + 4), ' '))) AS k FROM t WHERE len(w) >= 5)) WHERE c > 1) GROUP BY doc_id),
+    ls AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: length(trim(x, {white})) > 0) AS l FROM t),
+    f AS MATERIALIZED (SELECT t.doc_id, stratum, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, {count('#*$%&|<>')} AS n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, CAST(len(l) AS BIGINT) AS n_lines, {count('!')} AS n_shouts FROM t JOIN ls USING (doc_id) LEFT JOIN rep USING (doc_id)),
+    v AS MATERIALIZED ({rules}), g(step, cutoff) AS (VALUES {grid}),
+    y AS (SELECT doc_id, min(quality) AS quality FROM labels GROUP BY doc_id),
+    lab AS MATERIALIZED (SELECT v.*, quality FROM v JOIN y USING (doc_id) WHERE quality IN (0, 1)),
+    z AS MATERIALIZED (SELECT stratum, rule, step, cutoff, sum(quality) AS n_good, sum(1 - quality) AS n_bad, CAST(sum(CASE WHEN x > cutoff THEN quality ELSE 0 END) AS BIGINT) AS k_good, sum(CASE WHEN x > cutoff THEN 1 - quality ELSE 0 END) AS k_bad FROM lab, g GROUP BY ALL),
+    p AS (SELECT *, sum(CASE WHEN {tail} <= CAST({q.DELTA} AS DOUBLE) / ((SELECT count(DISTINCT stratum) FROM lab) * {len(q.RULES)}) THEN 0 ELSE 1 END) OVER (PARTITION BY stratum, rule ORDER BY step) AS failures FROM z),
+    best AS (SELECT stratum, rule, arg_max(cutoff, struct_pack(g := round(gain, 9), c := cutoff)) AS cutoff FROM (SELECT *, coalesce(k_bad / nullif(n_bad, 0), 0) - k_good / n_good AS gain FROM p WHERE failures = 0) WHERE gain > 0 GROUP BY ALL),
+    bad AS (SELECT DISTINCT doc_id FROM v JOIN best USING (stratum, rule) WHERE x > best.cutoff)
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND doc_id NOT IN (SELECT doc_id FROM bad) AS kept FROM f"""
+
+
+@query(_quality_sql())
+def op10_risk_thresholds(spark, sf_dir):
+    """Counts and verdict of every document."""
+    from meshloom.llm.quality import BASE, judge
+
+    return judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")).select("doc_id", *BASE, "base_failed", "kept")
+
+
+@query()
+def op1_temperature_mix(spark, sf_dir):
+    """How often the mix holds each document, at the smallest temperature exponent that repeats no source more than four times."""
+    from meshloom.llm.mixing import copies
+
+    return copies(read(spark, sf_dir, "documents"))
