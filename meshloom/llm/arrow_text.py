@@ -160,7 +160,7 @@ class Memo:
     def slots(self, h: np.ndarray) -> np.ndarray:
         """The slot of each key, -1 where it is missing. Key 0 counts as 1."""
         h = np.where(h == 0, U(1), h)
-        at = (h & U(self.mask)).astype(np.int64)
+        at = (mix(h) & U(self.mask)).astype(np.int64)
         out = np.full(len(h), -1, np.int64)
         there = self.keys[at]
         hit = there == h
@@ -182,7 +182,7 @@ class Memo:
             self.keys[:] = 0
             self.used = 0
         h = np.where(h == 0, U(1), h)
-        at = (h & U(self.mask)).astype(np.int64)
+        at = (mix(h) & U(self.mask)).astype(np.int64)
         todo = np.arange(len(h))
         while len(todo):
             free = todo[self.keys[at[todo]] == 0]

@@ -140,3 +140,30 @@ def op1_temperature_mix(spark, sf_dir):
     from meshloom.llm.mixing import copies
 
     return copies(read(spark, sf_dir, "documents"))
+
+
+@query()
+def op2_crf_language(spark, sf_dir):
+    """The language of every document, learned from those whose checksum is not 2 modulo 4."""
+    from meshloom.llm.langid import predict, train
+
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang", held.alias("held_out"))
+    return predict(docs.drop("lang"), train(docs.where("NOT held_out")), ("doc_id", "held_out"))
+
+
+@query()
+def op3_de_bruijn(spark, sf_dir):
+    """What is left of each document without passages of 50 words that an earlier one has."""
+    from meshloom.llm.substrings import remove_repeats
+
+    return remove_repeats(read(spark, sf_dir, "documents")).drop("kept_text")
+
+
+@query()
+def op5_ppm_score(spark, sf_dir):
+    """Scores of every document, learned from those whose checksum is not 2 modulo 7."""
+    from meshloom.llm.ppm import score
+
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))
+    return score(read(spark, sf_dir, "documents").select("doc_id", "text", held.alias("held_out")))
