@@ -94,6 +94,6 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of docs that are not contaminated, with their columns; only documents with hits are looked up."""
-    found = hits(docs, items).select("doc_id", "n_hit")
-    bad = docs.join(found, "doc_id").where(20 * F.col("n_hit") >= F.size(alnum_words(docs["text"]))).select("doc_id").distinct()
+    own = docs.select("doc_id", "text")
+    bad = own.join(hits(own, items), "doc_id").where(20 * F.col("n_hit") >= F.size(alnum_words(F.col("text")))).select("doc_id").distinct()
     return docs.join(bad, "doc_id", "left_anti")

@@ -92,7 +92,7 @@ def copies(docs: DataFrame, target_entropy: float | None = None, max_passes: flo
     within = F.sum("size").over(Window.partitionBy("source", "range").orderBy("order", "block").rowsBetween(Window.unboundedPreceding, -1))
     placed = blocks.withColumn("within", F.coalesce(within, F.lit(0))).join(ahead, F.col("source").eqNullSafe(F.col("s0")) & (F.col("range") == F.col("r0")))
     before = F.col("ahead") + F.col("within")
-    state = placed.select(F.col("source").alias("s1"), F.col("block").alias("b1"), before.alias("before"), F.when(before + F.col("size") <= F.col("rest"), 1).when(before < F.col("rest"), 0).otherwise(-1).alias("state"))
+    state = placed.select(F.col("source").alias("s1"), F.col("block").alias("b1"), before.alias("before"), F.when(F.col("rest") <= 0, -1).when(before + F.col("size") <= F.col("rest"), 1).when(before < F.col("rest"), 0).otherwise(-1).alias("state"))
     with_state = cut(dealt.join(state, F.col("source").eqNullSafe(F.col("s1")) & (F.col("block") == F.col("b1"))).drop("s1", "b1"))
     edge = with_state.where("state = 0")
     run = F.sum("n_tokens").over(Window.partitionBy("source", "block").orderBy(F.xxhash64(F.lit(seed + 2), "doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0))
