@@ -4,8 +4,8 @@
 **Training.** All texts of the training part are counted: every byte with the five before it, and every word. Counts of shorter contexts
 are sums of those. The trie keeps, of each order, what makes up at least `FLOOR` of all counted bytes, which is at most 1 / FLOOR entries an order whatever the
 corpus; so it may travel to all executors. **Scoring.** A byte is looked for in its longest context that the trie has. A context with total T and
-D different bytes gives a byte of count n the probability n / (T + D) and escapes to the next shorter one with D / (T + D) (method C); there, the
-bytes that the longer context has are excluded. Below order 0 all bytes not yet excluded are equally likely. As the trie is fixed while scoring, a byte's code length depends
+D different bytes (kept or not) gives a kept byte of count n the probability n / (T + D) and escapes with the rest, D / (T + D) (method C) and what the
+bytes not kept had, to the next shorter one; there, the bytes kept in the longer context are excluded. Below order 0 all bytes not yet excluded are equally likely. As the trie is fixed while scoring, a byte's code length depends
 on six bytes only, and is remembered by them.
 
 **Base.** log10((c + 1) / (N + 1 * (V + 1))) for each word and one end. Words that are at least FLOOR of all words travel with the trie; the rare rest is
@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +27,7 @@ from meshloom.llm.arrow_text import U, Memo, Words, split
 from meshloom.plans.lineage import cut
 
 ORDER = 5
-FLOOR = 5e-7
+FLOOR = 2e-7
 END = 10
 CHUNK = 1 << 20
 #: distinct entries of a task after which it hands its counts on
@@ -115,39 +116,33 @@ def count(docs: DataFrame, held_out: str) -> DataFrame:
 class Trie:
     """Kept grams and contexts of each order with the logarithms that scoring adds up."""
 
-    def __init__(self, tables: list[tuple[np.ndarray, np.ndarray]]):
-        """tables[k]: sorted grams of order k (k + 1 bytes) and their counts; a gram's shorter forms must be kept too."""
-        self.grams, self.found, self.ctx, self.first, self.down, self.pending = [], [], [], [], [], []
+    def __init__(self, tables: list[tuple[np.ndarray, np.ndarray]], totals: list[tuple[np.ndarray, np.ndarray]]):
+        """tables[k]: sorted grams of order k (k + 1 bytes) and their counts; a gram's shorter forms must be kept too. totals[k]: for each of their contexts, in order, the count and the number of different bytes after it, kept or not."""
+        self.grams, self.found, self.ctx, self.size, self.first, self.down, self.kinds = [], [], [], [], [], [], []
         below = None
-        for g, n in tables:
-            n = n.astype(np.float64)
-            c = g >> U(8)
-            ctx, start, d = np.unique(c, return_index=True, return_counts=True)
-            total = np.add.reduceat(n, start) if len(start) else np.zeros(0)
+        for k, ((g, n), (t, d)) in enumerate(zip(tables, totals, strict=True)):
+            n, t, d = n.astype(np.float64), t.astype(np.float64), d.astype(np.float64)
+            ctx, start, kinds = np.unique(g >> U(8), return_index=True, return_counts=True)
+            kept = np.add.reduceat(n, start) if len(start) else np.zeros(0)
             self.grams.append(g)
             self.ctx.append(ctx)
-            self.found.append((n, np.log10(n)))
-            self.pending.append((total, d.astype(np.float64)))
-            own = total + d
-            # escape from the context itself; then, after that escape, the size of the next shorter one without what is excluded, and the escape from it
-            first = np.log10(d / own)
+            self.found.append(np.log10(n))
+            self.kinds.append(kinds)
+            self.size.append(np.log10(t + d))
+            # what is not kept goes to the escape
+            self.first.append(np.log10(np.maximum(t - kept + d, 1e-300) / (t + d)))
             if below is None:
-                size, esc = np.zeros(len(ctx)), np.zeros(len(ctx))
+                self.down.append((np.zeros(len(ctx)), np.zeros(len(ctx))))
             else:
-                bg, bn, bctx, bt, bd = below
-                short = U((1 << (8 * (len(self.grams) - 1))) - 1)
-                same = bn[np.searchsorted(bg, g & short)]
-                x = np.add.reduceat(same, start) if len(start) else np.zeros(0)
+                # the next shorter context without the bytes kept here: its size, and the escape from it
+                bg, bn, bctx, bt, bd, bkept = below
+                short = U((1 << (8 * k)) - 1)
+                x = np.add.reduceat(bn[np.searchsorted(bg, g & short)], start) if len(start) else np.zeros(0)
                 p = np.searchsorted(bctx, ctx & (short >> U(8)))
-                rest_d = bd[p] - d
-                size = bt[p] - x + rest_d
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    esc = np.where(rest_d > 0, np.log10(rest_d / size), 0.0)
-                    size = np.where(size > 0, np.log10(np.maximum(size, 1e-300)), 0.0)
-            self.first.append(first)
-            self.down.append((size, esc))
-            self.pending[-1] = (np.log10(own), d.astype(np.float64))
-            below = (g, n, ctx, total, d.astype(np.float64))
+                size, esc = bt[p] - x + bd[p] - kinds, bt[p] - bkept[p] + bd[p] - kinds
+                some = size > 0
+                self.down.append((np.log10(np.where(some, size, 1.0)), np.log10(np.where(some, np.maximum(esc, 1e-300) / np.where(some, size, 1.0), 1.0))))
+            below = (g, n, ctx, t, d, kept)
 
     @staticmethod
     def _at(keys: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -169,7 +164,7 @@ class Trie:
             hit = self._at(self.grams[k], g)
             up = above[todo]
             came = up >= 0
-            size = self.pending[k][0][np.maximum(c, 0)] if len(self.ctx[k]) else np.zeros(len(todo))
+            size = self.size[k][np.maximum(c, 0)] if len(self.ctx[k]) else np.zeros(len(todo))
             if k + 1 < len(self.grams) and len(self.ctx[k + 1]):
                 size = np.where(came, self.down[k + 1][0][np.maximum(up, 0)], size)
                 esc_came = self.down[k + 1][1][np.maximum(up, 0)]
@@ -177,7 +172,7 @@ class Trie:
                 esc_came = np.zeros(len(todo))
             known = c >= 0
             esc = np.where(came, esc_came, self.first[k][np.maximum(c, 0)] if len(self.ctx[k]) else 0.0)
-            value = self.found[k][1][np.maximum(hit, 0)] if len(self.grams[k]) else np.zeros(len(todo))
+            value = self.found[k][np.maximum(hit, 0)] if len(self.grams[k]) else np.zeros(len(todo))
             ok = hit >= 0
             out[todo[ok]] += value[ok] - size[ok]
             miss = known & ~ok
@@ -185,7 +180,7 @@ class Trie:
             above[todo] = np.where(known, c, -1)
             todo = todo[~ok]
         if len(todo):
-            d = self.pending[0][1][0] if len(self.pending[0][1]) else 0
+            d = int(self.kinds[0][0]) if len(self.kinds[0]) else 0
             out[todo] += -np.log10(max(256 - d, 1))
         return out
 
@@ -194,15 +189,24 @@ def build(counts: DataFrame, floor: float) -> Trie:
     """The trie from (key, n) of all grams. Each order has at most 1 / floor entries, by definition of the floor."""
     total = counts.agg(F.sum("n")).head()[0] or 0
     forms = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col("key").bitwiseAND(F.lit((1 << (8 * (k + 1))) - 1)).alias("g")) for k in range(ORDER + 1)]))
-    kept = counts.select("n", forms.alias("f")).groupBy("f.k", "f.g").agg(F.sum("n").alias("n")).where(F.col("n") >= max(1.0, floor * total))
-    t = kept.toArrow()
-    k, g, n = (t.column(i).to_numpy() for i in range(3))
-    tables = []
+    every = counts.select("n", forms.alias("f")).groupBy("f.k", "f.g").agg(F.sum("n").alias("n"))
+    least = max(1.0, floor * total)
+    kept = F.when(F.col("n") >= least, F.struct("g", "n"))
+    # a row for each context with a kept byte: at most as many as kept grams
+    by_context = every.groupBy("k", F.shiftright("g", 8).alias("c")).agg(F.sum("n").alias("t"), F.count("*").alias("d"), F.array_sort(F.collect_list(kept)).alias("kept")).where(F.size("kept") > 0)
+    t = by_context.select("k", "c", "t", "d", "kept.g", "kept.n").toArrow().combine_chunks()
+    k, c, total_, kinds = (t.column(i).to_numpy() for i in range(4))
+    owner = np.repeat(np.arange(len(k)), np.array(pc.list_value_length(t.column(4)), np.int64))
+    g, n = (pc.list_flatten(t.column(i)).to_numpy() for i in (4, 5))
+    tables, totals = [], []
     for j in range(ORDER + 1):
-        own = k == j
+        own = k[owner] == j
         order = np.argsort(g[own], kind="stable")
         tables.append((g[own][order].astype(U), n[own][order]))
-    return Trie(tables)
+        rows = np.flatnonzero(k == j)
+        rows = rows[np.argsort(c[rows], kind="stable")]
+        totals.append((total_[rows], kinds[rows]))
+    return Trie(tables, totals)
 
 
 def score(docs: DataFrame, held_out: str = "held_out", floor: float = FLOOR) -> DataFrame:

@@ -22,17 +22,20 @@ def reference(train, floor):
         s = b"\n" * ppm.ORDER + normal(t)
         full.update(s[i - ppm.ORDER : i + 1] for i in range(ppm.ORDER, len(s)))
     total = sum(full.values())
-    kept = []
+    every = []
     for k in range(ppm.ORDER + 1):
         c = Counter()
         for g, n in full.items():
             c[g[ppm.ORDER - k :]] += n
-        kept.append({g: n for g, n in c.items() if n >= max(1.0, floor * total)})
-    after = [{} for _ in kept]
-    for k, c in enumerate(kept):
+        every.append(c)
+    after = [{} for _ in range(ppm.ORDER + 1)]
+    for k, c in enumerate(every):
         for g, n in c.items():
-            after[k].setdefault(g[:-1], {})[g[-1]] = n
-    return after
+            t, d, here = after[k].setdefault(g[:-1], (0, 0, {}))
+            if n >= max(1.0, floor * total):
+                here[g[-1]] = n
+            after[k][g[:-1]] = (t + n, d + 1, here)
+    return [{c: x for c, x in a.items() if x[2]} for a in after]
 
 
 def brute(after, text):
@@ -40,15 +43,15 @@ def brute(after, text):
     for i in range(ppm.ORDER, len(s)):
         out, p = set(), 1.0
         for k in range(ppm.ORDER, -1, -1):
-            here = after[k].get(s[i - k : i])
-            if here is None:
+            if s[i - k : i] not in after[k]:
                 continue
+            t, d, here = after[k][s[i - k : i]]
             left = {b: n for b, n in here.items() if b not in out}
-            size = sum(left.values()) + len(left)
+            size = t + d - sum(here[b] + 1 for b in out)
             if s[i] in left:
                 p *= left[s[i]] / size
                 break
-            p *= len(left) / size if left else 1.0
+            p *= (size - sum(left.values())) / size if size else 1.0
             out |= here.keys()
         else:
             p /= max(256 - len(out), 1)
@@ -100,13 +103,23 @@ def test_no_training(spark):
 def test_probabilities_sum_to_one():
     data = b"\n\n\n\n\nabracadabra abra\n" * 3
     full = Counter(data[i - 5 : i + 1] for i in range(5, len(data)))
-    tables = []
-    for k in range(6):
-        c = Counter()
-        for g, n in full.items():
-            c[int.from_bytes(g[5 - k :], "big")] += n
-        tables.append((np.array(sorted(c), np.uint64), np.array([c[x] for x in sorted(c)])))
-    trie = ppm.Trie(tables)
+    for least in (1, 2, 5):
+        tables, totals = [], []
+        for k in range(6):
+            c, t, d = Counter(), Counter(), Counter()
+            for g, n in full.items():
+                c[int.from_bytes(g[5 - k :], "big")] += n
+            for g, n in c.items():
+                t[g >> 8] += n
+                d[g >> 8] += 1
+            kept = sorted(g for g in c if c[g] >= least)
+            contexts = sorted({g >> 8 for g in kept})
+            tables.append((np.array(kept, np.uint64), np.array([c[x] for x in kept])))
+            totals.append((np.array([t[x] for x in contexts]), np.array([d[x] for x in contexts])))
+        check_sums(ppm.Trie(tables, totals))
+
+
+def check_sums(trie):
     for ctx in (b"abrac", b"zzzzz", b"zzabr", b"\n\n\n\n\n"):
         g = (np.uint64(int.from_bytes(ctx, "big")) << np.uint64(8)) | np.arange(256, dtype=np.uint64)
         assert abs((10 ** trie.score(g)).sum() - 1) < 1e-9
