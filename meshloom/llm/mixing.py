@@ -13,7 +13,7 @@ count each; an empty table gives an empty result.
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -68,6 +68,12 @@ def exponent(tokens: dict, target_entropy: float | None = None, max_passes: floa
     return high
 
 
+def draw(seed: int, *keys: Column) -> Column:
+    """60 bits of MD5 of the seed and the keys; other engines have the same."""
+    text = F.concat_ws(":", F.lit(str(seed)), *[k.cast("string") for k in keys])
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
+
+
 def copies(docs: DataFrame, target_entropy: float | None = None, max_passes: float | None = None, total: float | None = None, seed: int = 0) -> DataFrame:
     """(doc_id, source, n_tokens, block, copies) for each row of docs: how often the mix holds it."""
     sized = docs.select("doc_id", "source", F.size(words(F.col("text"))).cast("bigint").alias("n_tokens"))
@@ -82,12 +88,11 @@ def copies(docs: DataFrame, target_entropy: float | None = None, max_passes: flo
     # rounded, so that a pass that is whole but for the last bits is whole
     plan = [(r["source"], int(k := round(often[r["source"]], 9)), round((k - int(k)) * r["n"], 6), max(1, r["rows"] // BLOCK)) for r in rows]
     known = F.broadcast(spark.createDataFrame(plan, "source string, whole int, rest double, blocks long"))
-    draw = F.xxhash64(F.lit(seed), F.col("doc_id"))
-    dealt = cut(sized.join(known, sized["source"].eqNullSafe(known["source"])).select(sized["*"], "whole", "rest", F.pmod(draw, F.col("blocks")).cast("int").alias("block")))
-    order = F.xxhash64(F.lit(seed + 1), F.col("source"), F.col("block"))
+    dealt = cut(sized.join(known, sized["source"].eqNullSafe(known["source"])).select(sized["*"], "whole", "rest", (draw(seed, F.col("doc_id")) % F.col("blocks")).cast("int").alias("block")))
+    order = draw(seed + 1, F.col("source"), F.col("block"))
     blocks = dealt.groupBy("source", "block", "rest").agg(F.sum("n_tokens").alias("size")).withColumn("order", order)
     # a source has one block for 256 documents; its running sum is over ranges of the order first, then within a range
-    blocks = blocks.withColumn("range", F.shiftright("order", 54))
+    blocks = blocks.withColumn("range", F.shiftright("order", 50))
     ahead = blocks.groupBy("source", "range").agg(F.sum("size").alias("s")).select(F.col("source").alias("s0"), F.col("range").alias("r0"), F.coalesce(F.sum("s").over(Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
     within = F.sum("size").over(Window.partitionBy("source", "range").orderBy("order", "block").rowsBetween(Window.unboundedPreceding, -1))
     placed = blocks.withColumn("within", F.coalesce(within, F.lit(0))).join(ahead, F.col("source").eqNullSafe(F.col("s0")) & (F.col("range") == F.col("r0")))
@@ -95,7 +100,7 @@ def copies(docs: DataFrame, target_entropy: float | None = None, max_passes: flo
     state = placed.select(F.col("source").alias("s1"), F.col("block").alias("b1"), before.alias("before"), F.when(F.col("rest") <= 0, -1).when(before + F.col("size") <= F.col("rest"), 1).when(before < F.col("rest"), 0).otherwise(-1).alias("state"))
     with_state = cut(dealt.join(state, F.col("source").eqNullSafe(F.col("s1")) & (F.col("block") == F.col("b1"))).drop("s1", "b1"))
     edge = with_state.where("state = 0")
-    run = F.sum("n_tokens").over(Window.partitionBy("source", "block").orderBy(F.xxhash64(F.lit(seed + 2), "doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    run = F.sum("n_tokens").over(Window.partitionBy("source", "block").orderBy(draw(seed + 2, F.col("doc_id")), "doc_id").rowsBetween(Window.unboundedPreceding, 0))
     edge = edge.withColumn("more", F.when(F.col("before") + run <= F.col("rest"), 1).otherwise(0))
     rest = with_state.where("state <> 0").withColumn("more", F.greatest("state", F.lit(0)))
     return edge.unionByName(rest).select("doc_id", "source", "n_tokens", "block", (F.col("whole") + F.col("more")).cast("int").alias("copies"))

@@ -16,6 +16,10 @@ def query(sql: str | None = None):
     return add
 
 
+#: words of a text for the ASCII white space of this module
+_WORDS = "list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+
+
 def read(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -52,7 +56,18 @@ def op6_url_cascade(spark, sf_dir):
     return apply_rules(read(spark, sf_dir, "pages"), spark.createDataFrame(RULES, "host string, path string, verdict string"))
 
 
-@query()
+def _near_sql() -> str:
+    w = "list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+    return f"""WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, {w} AS w FROM documents),
+    s AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(w) - 3, 2)), lambda i: array_to_string(list_slice(w, i, i + 4), ' '))) AS s FROM d WHERE len(w) > 0),
+    n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+    e AS MATERIALIZED (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 75 * (x.n + y.n - i)),
+    reach(v, u) AS (SELECT doc_id, doc_id FROM documents UNION SELECT v, b FROM reach JOIN e ON a = u)
+    SELECT d.doc_id, coalesce(n, 0) AS n_shingles, c AS component_id, d.doc_id = c AS kept FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT v AS doc_id, min(u) AS c FROM reach GROUP BY v) USING (doc_id)"""
+
+
+@query(_near_sql())
 def op7_superminhash(spark, sf_dir):
     """Near-duplicate groups of all documents."""
     from meshloom.llm.neardup import groups
@@ -134,7 +149,22 @@ def op10_risk_thresholds(spark, sf_dir):
     return judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")).select("doc_id", *BASE, "base_failed", "kept")
 
 
-@query()
+def _mix_sql() -> str:
+    """The exponent in closed form: at the limit, the smallest source is passed over exactly four times."""
+    draw = lambda *keys: f"CAST('0x' || substr(md5(concat_ws(':', {', '.join(keys)})), 1, 15) AS BIGINT)"
+    return f"""WITH d AS MATERIALIZED (SELECT doc_id, source, CAST(len({_WORDS}) AS BIGINT) AS n_tokens FROM documents),
+    s AS (SELECT source, sum(n_tokens) AS n, count(*) AS docs FROM d GROUP BY source),
+    e AS (SELECT max(n) AS top, greatest(0, 1 - ln(4) / nullif(ln(max(n) / min(n)), 0)) AS t FROM s WHERE n > 0),
+    a AS (SELECT source, n, docs, round(power(top / n, 1 - coalesce(t, 0)), 9) AS k FROM s, e),
+    p AS MATERIALIZED (SELECT source, CAST(floor(k) AS INT) AS whole, round((k - floor(k)) * n, 6) AS rest, greatest(1, docs // 256) AS blocks FROM a),
+    x AS MATERIALIZED (SELECT d.*, whole, rest, CAST({draw("'0'", "CAST(doc_id AS VARCHAR)")} % blocks AS INT) AS block FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source),
+    b AS (SELECT source, block, sum(n_tokens) AS size, {draw("'1'", "source", "CAST(block AS VARCHAR)")} AS o FROM x GROUP BY source, block),
+    c AS (SELECT source, block, size, coalesce(sum(size) OVER (PARTITION BY source ORDER BY o, block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM b),
+    r AS (SELECT x.*, size, before, sum(n_tokens) OVER (PARTITION BY x.source, x.block ORDER BY {draw("'2'", "CAST(doc_id AS VARCHAR)")}, doc_id ROWS UNBOUNDED PRECEDING) AS run FROM x JOIN c ON x.source IS NOT DISTINCT FROM c.source AND x.block = c.block)
+    SELECT doc_id, source, n_tokens, block, CAST(whole + CASE WHEN rest <= 0 THEN 0 WHEN before + size <= rest THEN 1 WHEN before < rest AND before + run <= rest THEN 1 ELSE 0 END AS INT) AS copies FROM r"""
+
+
+@query(_mix_sql())
 def op1_temperature_mix(spark, sf_dir):
     """How often the mix holds each document, at the smallest temperature exponent that repeats no source more than four times."""
     from meshloom.llm.mixing import copies
@@ -152,7 +182,18 @@ def op2_crf_language(spark, sf_dir):
     return predict(docs.drop("lang"), train(docs.where("NOT held_out")), ("doc_id", "held_out"))
 
 
-@query()
+def _repeats_sql() -> str:
+    return f"""WITH d AS MATERIALIZED (SELECT doc_id, {_WORDS} AS w FROM documents),
+    k AS MATERIALIZED (SELECT doc_id, unnest(range(1, len(w) - 48)) AS i, unnest(list_transform(range(1, len(w) - 48), lambda i: md5(array_to_string(list_slice(w, i, i + 49), ' ')))) AS k FROM d WHERE len(w) >= 50),
+    f AS (SELECT k, min(doc_id) AS f FROM k GROUP BY k),
+    g AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM k JOIN f USING (k) WHERE f < doc_id),
+    r AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+    x AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS x FROM d),
+    t AS (SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS t FROM x ANTI JOIN g USING (doc_id, p) GROUP BY doc_id)
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN r USING (doc_id) LEFT JOIN t USING (doc_id)"""
+
+
+@query(_repeats_sql())
 def op3_de_bruijn(spark, sf_dir):
     """What is left of each document without passages of 50 words that an earlier one has."""
     from meshloom.llm.substrings import remove_repeats
