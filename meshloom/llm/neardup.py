@@ -7,7 +7,8 @@ cannot change them, and its walk stops. All elements of many documents step toge
 
 **Candidates.** Documents of equal sets are one class from here on. 48 bands of 5 slots: a pair of Jaccard similarity 0.75 shares none with probability 2e-6, at 0.8
 with 5e-9. Within a bucket no pairs are listed: each class meets the smallest of the bucket and of its salted part. What is linked that way forms
-components; only then are classes of different components that share a bucket compared with each other, as they may be linked through other members.
+components. Only then do classes of different components that share a bucket meet, as they may be linked through other members: in blocks, by their signatures first,
+and those near the threshold then ask the other component's full sets, again in blocks.
 **Verification.** Pairs whose sizes rule out the threshold, or whose signatures agree in less than half of the slots (nine standard deviations below 0.75), go; for the
 rest the full sets are intersected. **Grouping.** Partitions first reduce links to forests by union-find; rounds of contraction to the smallest neighbour join the forests.
 
@@ -31,6 +32,10 @@ BANDS = SLOTS // ROWS
 #: bytes of text whose elements step together
 CHUNK = 1 << 19
 SALTS = 16
+#: rows of a bucket or component that meet others in one block
+BLOCK = 1024
+#: slots that must agree for two classes of a bucket to be compared in full (five standard deviations below 0.75)
+LIKELY = 146
 #: ids (8 bytes each) up to which they are broadcast
 BROADCAST_ROWS = 500_000
 
@@ -219,6 +224,107 @@ def components(links: DataFrame) -> DataFrame:
     return cut(out)
 
 
+def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """Rows that agree in the first columns, which come one after the other."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        k = np.stack([batch.column(i).to_numpy() for i in range(keys)])
+        cuts = [0, *(np.flatnonzero((k[:, 1:] != k[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+        if held and any(held[0].column(i)[0].as_py() != batch.column(i)[0].as_py() for i in range(keys)):
+            yield pa.Table.from_batches(held)
+            held = []
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            held.append(batch.slice(a, b - a))
+            if b < batch.num_rows:
+                yield pa.Table.from_batches(held)
+                held = []
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _blocks(df: DataFrame, own: str, n: str, into: str, other: str, m: str) -> DataFrame:
+    """Each row in its block of n, and for each of the m blocks of the other side."""
+    return df.withColumn(into, F.pmod(F.xxhash64(own), F.col(n))).withColumn(other, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(m) - 1)))
+
+
+def strangers(at: DataFrame, classes: DataFrame) -> DataFrame:
+    """(p, c): classes, and other components that have a class in one of their buckets whose signature may belong to the threshold; at(key, rep, n, c).
+
+    In a bucket, what is not of its largest component meets the rest, block by block; only the result leaves a block.
+    """
+    sizes = at.groupBy("key", "c").agg(F.count("*").alias("k"))
+    blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("bigint")
+    main = sizes.groupBy("key").agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.count("*").alias("parts"), F.sum("k").alias("all"), F.max("k").alias("most")).where("parts > 1")
+    main = main.select("key", "main", blocks(F.col("all")).alias("nq"), blocks(F.col("all") - F.col("most")).alias("np"))
+    rows = cut(at.join(main, "key").join(classes.select("rep", "sig"), "rep"))
+    left = _blocks(rows.where("c <> main"), "rep", "np", "bp", "bq", "nq").withColumn("side", F.lit(0))
+    right = _blocks(rows, "rep", "nq", "bq", "bp", "np").withColumn("side", F.lit(1))
+    both = left.unionByName(right).select("key", "bp", "bq", "side", "rep", "c", "n", "sig").repartition("key", "bp", "bq").sortWithinPartitions("key", "bp", "bq")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _runs(batches, 3):
+            side, rep, c, n = (t.column(i).to_numpy() for i in (3, 4, 5, 6))
+            sig = np.frombuffer(b"".join(t.column(7).to_pylist()), np.uint8).reshape(-1, SLOTS)
+            p, q = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+            found = set()
+            for i in range(0, len(p), 32):
+                own = p[i : i + 32]
+                may = (c[own][:, None] != c[q]) & (4 * np.minimum(n[own][:, None], n[q]) >= 3 * np.maximum(n[own][:, None], n[q]))
+                x, y = np.nonzero(may)
+                near = (sig[own[x]] == sig[q[y]]).sum(axis=1) >= LIKELY
+                found |= set(zip(rep[own[x[near]]].tolist(), c[q[y[near]]].tolist(), strict=True))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in zip(*found, strict=True)], names=["p", "c"])
+
+    return both.mapInArrow(run, "p bigint, c bigint").distinct()
+
+
+def cross_links(suspects: DataFrame, members: DataFrame, docs: DataFrame) -> DataFrame:
+    """(a, b): for suspects (p, c) links of p to members (rep, c) of the component, one a block of members at most; full sets are looked up in the block's inverted index."""
+    blocks = lambda n, size: F.ceil(n / F.lit(size)).cast("bigint")
+    asked = suspects.groupBy("c").agg(blocks(F.count("*"), BLOCK).alias("np"))
+    need = members.join(asked, "c")
+    size = need.groupBy("c").agg(blocks(F.count("*"), BLOCK // 4).alias("nq"))
+    need = cut(need.join(size, "c"))
+    left = cut(suspects.join(asked, "c").join(size, "c"))
+    ids = cut(need.select(F.col("rep").alias("i")).union(left.select("p")).distinct())
+    few = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    full = cut(sets(docs.join(F.broadcast(ids) if few else ids, docs["doc_id"] == ids["i"], "left_semi")).dropDuplicates(["doc_id"]))
+    q = _blocks(need, "rep", "nq", "bq", "bp", "np").select("c", "bp", "bq", F.lit(1).alias("side"), F.col("rep").alias("id"))
+    p = _blocks(left, "p", "np", "bp", "bq", "nq").select("c", "bp", "bq", F.lit(0).alias("side"), F.col("p").alias("id"))
+    both = q.unionByName(p).join(full, F.col("id") == full["doc_id"]).select("c", "bp", "bq", "side", "id", "s").repartition("c", "bp", "bq").sortWithinPartitions("c", "bp", "bq")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _runs(batches, 3):
+            t = t.combine_chunks()
+            side, ids = t.column(3).to_numpy(), t.column(4).to_numpy()
+            lists = t.column(5).combine_chunks()
+            off = lists.offsets.to_numpy()
+            values = lists.values.to_numpy()
+            n = np.diff(off)
+            q = np.flatnonzero(side == 1)
+            v = np.concatenate([values[off[i] : off[i + 1]] for i in q]) if len(q) else np.zeros(0, np.int64)
+            owner = np.repeat(np.arange(len(q)), n[q])
+            order = np.argsort(v, kind="stable")
+            v, owner = v[order], owner[order]
+            out = []
+            for i in np.flatnonzero(side == 0):
+                s = values[off[i] : off[i + 1]]
+                lo, hi = np.searchsorted(v, s, "left"), np.searchsorted(v, s, "right")
+                k = hi - lo
+                at = np.repeat(lo, k) + np.arange(int(k.sum())) - np.repeat(np.cumsum(k) - k, k)
+                common = np.bincount(owner[at], minlength=len(q))
+                hit = np.flatnonzero(100 * common >= 75 * (n[i] + n[q] - common))
+                if len(hit):
+                    out.append((int(ids[i]), int(ids[q[hit[0]]])))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["a", "b"])
+
+    return both.mapInArrow(run, "a bigint, b bigint")
+
+
 def groups(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of docs."""
     own = docs.select("doc_id", "text")
@@ -241,15 +347,10 @@ def groups(docs: DataFrame) -> DataFrame:
 
     # classes of different components that share a bucket of three or more; in one of two they have met
     at = shared.where("m > 2").select("key", "rep", "n").join(comp, shared["rep"] == comp["node"], "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("c"))
-    sizes = at.groupBy("key", "c").agg(F.count("*").alias("k"))
-    main = sizes.groupBy("key").agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("key", "main")
-    open_rows = cut(at.join(main, "key"))
-    left = open_rows.where("c <> main").select("key", F.col("rep").alias("p"), F.col("n").alias("np"), F.col("c").alias("cp"))
-    right = open_rows.select("key", F.col("rep").alias("q"), F.col("n").alias("nq"), F.col("c").alias("cq"))
-    crossed = left.join(right, "key").where((F.col("cp") != F.col("cq")) & _can("np", "nq"))
-    more = cut(crossed.select(F.greatest("p", "q").alias("a"), F.least("p", "q").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"))
-    if more.limit(1).count():
-        extra = cut(verify(more, classes, own))
+    suspects = cut(strangers(at, classes))
+    if suspects.limit(1).count():
+        whole_comp = classes.join(comp, classes["rep"] == comp["node"], "left").select("rep", F.coalesce("component", "rep").alias("c"))
+        extra = cut(cross_links(suspects, whole_comp, own))
         if extra.limit(1).count():
             comp = components(links.unionByName(extra))
 

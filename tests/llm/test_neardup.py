@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from meshloom.llm import neardup
 from meshloom.llm.neardup import components, groups, superminhash
@@ -116,3 +117,17 @@ def test_keep_first_keeps_columns(spark):
     kept = neardup.keep_first(docs)
     assert kept.columns == docs.columns
     assert {r.doc_id for r in kept.collect()} == {i for i, _, _, k in brute([(r.doc_id, r.text) for r in docs.collect()]) if k}
+
+
+@pytest.mark.parametrize("block", [4, 1024])
+def test_blocked_comparison_alone_finds_the_components(spark, monkeypatch, block):
+    """Every class is its own component at first, so all links must come from the comparison across components."""
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    docs = chains(7, 120)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    classes = neardup.sign(df).groupBy("set_id").agg(F.min(F.struct("doc_id", "n", "sig")).alias("c")).selectExpr("c.doc_id AS rep", "c.n AS n", "c.sig AS sig")
+    at = neardup.bands(classes).selectExpr("key", "rep", "n", "rep AS c")
+    suspects = neardup.strangers(at, classes)
+    links = neardup.cross_links(suspects, classes.selectExpr("rep", "rep AS c"), df)
+    got = {r.node: r.component for r in components(links).collect()}
+    assert all(got.get(i, i) == c for i, _, c, _ in brute(docs) if i in {r.rep for r in classes.collect()})
