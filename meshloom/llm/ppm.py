@@ -29,9 +29,9 @@ from meshloom.plans.lineage import cut
 ORDER = 5
 FLOOR = 2e-7
 END = 10
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 #: distinct entries of a task after which it hands its counts on
-FLUSH = 1 << 21
+FLUSH = 1 << 20
 
 
 def stream(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -103,7 +103,7 @@ def count(docs: DataFrame, held_out: str) -> DataFrame:
                     x.sort()
                     at = np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else np.zeros(0, int)
                     held[kind].append((x[at], np.diff(np.append(at, len(x)))))
-                    if len(held[kind]) >= 8:
+                    if len(held[kind]) >= 16:
                         held[kind] = [_merge(held[kind])]
                 if sum(len(p[0]) for k in held for p in k) > FLUSH:
                     yield from flush()
