@@ -162,7 +162,8 @@ def removed_spans(docs: DataFrame, surveyed: DataFrame) -> DataFrame:
     marks = placed.groupBy("doc_id").agg(F.collect_list(F.struct("at", "start", "stop")).alias("marks"))
     texts = _narrow(docs, cut(placed.select("doc_id").distinct()))
     wins = cut(open_windows(texts.dropDuplicates(["doc_id"]), marks))
-    first = wins.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first <> last")
+    # written, so that the join below is one of two exchanges, whose hot keys Spark can split
+    first = cut(wins.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first <> last"))
     again = wins.join(first, "h").where("doc_id > first").select("doc_id", "start", (F.col("start") + WINDOW).alias("stop"))
     return sure.unionByName(again)
 
