@@ -55,7 +55,8 @@ def removals(docs: DataFrame) -> DataFrame:
     few = often.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     again = cut(c.join(F.broadcast(often) if few else often, "h"))
     # grouped by the bytes themselves: equal hashes of different chunks part here
-    first = again.groupBy("h", "body").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count("*").alias("n")).where("n > 1").select("h", F.col("body").alias("b"), "first")
+    # written, so that the join below is one of two exchanges, whose hot keys Spark can split
+    first = cut(again.groupBy("h", "body").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count("*").alias("n")).where("n > 1").select("h", F.col("body").alias("b"), "first"))
     gone = again.join(first, "h").where((F.col("body") == F.col("b")) & (F.struct("doc_id", "at") != F.col("first")))
     return gone.groupBy("doc_id").agg(F.collect_set("at").alias("cut"))
 
