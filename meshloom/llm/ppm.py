@@ -2,14 +2,15 @@
 
 **Text.** A-Z are lower-cased and words joined by one space; a line feed ends the text and, five times, goes before it.
 **Training.** All texts of the training part are counted: every byte with the five before it, and every word. Counts of shorter contexts
-are sums of those. The trie keeps, of each order, what makes up at least `FLOOR` of all counted bytes, which is at most 1 / FLOOR entries an order whatever the
-corpus; so it may travel to all executors. **Scoring.** A byte is looked for in its longest context that the trie has. A context with total T and
-D different bytes (kept or not) gives a kept byte of count n the probability n / (T + D) and escapes with the rest, D / (T + D) (method C) and what the
-bytes not kept had, to the next shorter one; there, the bytes kept in the longer context are excluded. Below order 0 all bytes not yet excluded are equally likely. As the trie is fixed while scoring, a byte's code length depends
-on six bytes only, and is remembered by them.
+are sums of those. **Scoring.** A byte is looked for in its longest context that training has. A context with total T and D different bytes gives a byte of
+count n the probability n / (T + D) and escapes with the rest, D / (T + D) (method C), to the next shorter one; there, the bytes of the longer context are
+excluded. Below order 0 all bytes not yet excluded are equally likely. As counts are fixed while scoring, a byte's code length depends on six bytes only.
+So it is worked out once for each gram of six bytes that any text has, in tasks that each hold whole contexts of three bytes and all that is longer; of the shorter
+orders, each has all grams (of at most three bytes, so their number is bounded by the alphabet). Grams that make up at least `FLOOR` of all bytes travel to
+all executors, at most 1 / FLOOR; the rest is looked up in one join, pre-counted by document. So the floor changes no score.
 
-**Base.** log10((c + 1) / (N + 1 * (V + 1))) for each word and one end. Words that are at least FLOOR of all words travel with the trie; the rare rest is
-looked up in one join by word, pre-counted by document.
+**Base.** log10((c + 1) / (N + 1 * (V + 1))) for each word and one end. Words that are at least FLOOR of all words travel as well; the rare rest is
+looked up in the same join.
 
 Edge cases: null is as empty, and scores its end; without training texts N = V = 0 and all bytes are equally likely; rows that repeat a
 document each count and each get a row; null ids are texts of the training part.
@@ -19,7 +20,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +27,10 @@ from meshloom.llm.arrow_text import U, Memo, Words, split
 from meshloom.plans.lineage import cut
 
 ORDER = 5
+#: share of all bytes, or words, from which a gram, or word, travels to all executors
 FLOOR = 2e-7
+#: orders whose grams every task has
+SHARED = 3
 END = 10
 CHUNK = 1 << 18
 #: distinct entries of a task after which it hands its counts on
@@ -81,7 +84,7 @@ def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
 
 
 def count(docs: DataFrame, held_out: str) -> DataFrame:
-    """(kind, key, n): words (kind 1) and grams (kind 0) of the rows whose held_out is false; kind 2 is the number of those rows."""
+    """(kind, key, n, m): grams of all rows (kind 0), n times in those whose held_out is false and m times in all; words (kind 1) of the rows whose held_out is false; kind 2 is the number of those rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[tuple[np.ndarray, np.ndarray]]] = [[], []]
@@ -92,14 +95,20 @@ def count(docs: DataFrame, held_out: str) -> DataFrame:
                     k, n = _merge(held[kind])
                     held[kind] = []
                     for i in range(0, len(k), 1 << 18):
-                        part = k[i : i + (1 << 18)]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), kind, np.int32)), pa.array(part.view(np.int64)), pa.array(n[i : i + (1 << 18)])], names=["kind", "key", "n"])
+                        part, m = k[i : i + (1 << 18)], n[i : i + (1 << 18)]
+                        in_train = np.ones(len(part), np.int64) if kind else 1 - (part >> OUT).astype(np.int64)
+                        part = part if kind else part & (ONE_OUT - U(1))
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), kind, np.int32)), pa.array(part.view(np.int64)), pa.array(m * in_train), pa.array(m)], names=["kind", "key", "n", "m"])
 
         docs_seen = 0
         for batch in batches:
-            docs_seen += batch.num_rows
+            out_of = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+            docs_seen += int((~out_of).sum())
             for w in split(batch, "text", lower=True, chunk=CHUNK):
-                for kind, x in ((0, grams(w)[0]), (1, w.hashes())):
+                here = out_of[w.first : w.last]
+                g, first = grams(w)
+                g |= np.repeat(here, np.diff(np.append(first, len(g)))).astype(U) << OUT
+                for kind, x in ((0, g), (1, w.hashes()[~here[w.doc()]])):
                     x.sort()
                     at = np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else np.zeros(0, int)
                     held[kind].append((x[at], np.diff(np.append(at, len(x)))))
@@ -108,9 +117,14 @@ def count(docs: DataFrame, held_out: str) -> DataFrame:
                 if sum(len(p[0]) for k in held for p in k) > FLUSH:
                     yield from flush()
         yield from flush()
-        yield pa.RecordBatch.from_arrays([pa.array([2], pa.int32()), pa.array([0], pa.int64()), pa.array([docs_seen], pa.int64())], names=["kind", "key", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([2], pa.int32()), pa.array([0], pa.int64()), pa.array([docs_seen], pa.int64()), pa.array([docs_seen], pa.int64())], names=["kind", "key", "n", "m"])
+
+    return docs.select("text", held_out).mapInArrow(run, "kind int, key bigint, n bigint, m bigint").groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+
 
-    return docs.where(~F.col(held_out)).select("text").mapInArrow(run, "kind int, key bigint, n bigint").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+#: place of the bit that marks grams of held-out rows while they are counted
+OUT = U(8 * (ORDER + 1))
+ONE_OUT = U(1) << OUT
 
 
 class Trie:
@@ -185,32 +199,48 @@ class Trie:
         return out
 
 
-def build(counts: DataFrame, floor: float) -> Trie:
-    """The trie from (key, n) of all grams. Each order has at most 1 / floor entries, by definition of the floor."""
-    total = counts.agg(F.sum("n")).head()[0] or 0
-    forms = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col("key").bitwiseAND(F.lit((1 << (8 * (k + 1))) - 1)).alias("g")) for k in range(ORDER + 1)]))
-    every = counts.select("n", forms.alias("f")).groupBy("f.k", "f.g").agg(F.sum("n").alias("n"))
-    least = max(1.0, floor * total)
-    kept = F.when(F.col("n") >= least, F.struct("g", "n"))
-    # a row for each context with a kept byte: at most as many as kept grams
-    by_context = every.groupBy("k", F.shiftright("g", 8).alias("c")).agg(F.sum("n").alias("t"), F.count("*").alias("d"), F.array_sort(F.collect_list(kept)).alias("kept")).where(F.size("kept") > 0)
-    t = by_context.select("k", "c", "t", "d", "kept.g", "kept.n").toArrow().combine_chunks()
-    k, c, total_, kinds = (t.column(i).to_numpy() for i in range(4))
-    owner = np.repeat(np.arange(len(k)), np.array(pc.list_value_length(t.column(4)), np.int64))
-    g, n = (pc.list_flatten(t.column(i)).to_numpy() for i in (4, 5))
+def _orders(g: np.ndarray, n: np.ndarray, orders: range, least: float) -> tuple[list, list]:
+    """Of each order, the grams with a count of least or more, and the totals of their contexts, from longer grams."""
     tables, totals = [], []
-    for j in range(ORDER + 1):
-        own = k[owner] == j
-        order = np.argsort(g[own], kind="stable")
-        tables.append((g[own][order].astype(U), n[own][order]))
-        rows = np.flatnonzero(k == j)
-        rows = rows[np.argsort(c[rows], kind="stable")]
-        totals.append((total_[rows], kinds[rows]))
-    return Trie(tables, totals)
-
-
-def score(docs: DataFrame, held_out: str = "held_out", floor: float = FLOOR) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row of docs, which has doc_id, text and held_out."""
+    for k in orders:
+        x, c = _merge([(g & U((1 << (8 * (k + 1))) - 1), n)])
+        start = np.flatnonzero(np.append(True, x[1:] >> U(8) != x[:-1] >> U(8))) if len(x) else np.zeros(0, int)
+        d = np.diff(np.append(start, len(x)))
+        keep = c >= least
+        some = np.add.reduceat(keep.astype(np.int64), start) > 0 if len(x) else np.zeros(0, bool)
+        tables.append((x[keep], c[keep]))
+        totals.append(((np.add.reduceat(c, start) if len(x) else c)[some], d[some]))
+    return tables, totals
+
+
+def values(counts: DataFrame, floor: float = 0.0) -> DataFrame:
+    """(key, m, value): log10 probability of the last byte of each gram in (key, n, m). A floor above 0 leaves out of the model what is less than that share of it."""
+    spark = counts.sparkSession
+    low = (1 << (8 * SHARED)) - 1
+    short = counts.where("n > 0").groupBy(F.col("key").bitwiseAND(F.lit(low)).alias("g")).agg(F.sum("n").alias("n")).toArrow()
+    g, n = short.column(0).to_numpy().astype(U), short.column(1).to_numpy().astype(np.int64)
+    least = max(1.0, floor * int(n.sum()))
+    sent = spark.sparkContext.broadcast(_orders(g, n, range(SHARED), least))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [tuple(b.column(i).to_numpy() for i in range(3)) for b in batches]
+        if not parts:
+            return
+        g, n, m = (np.concatenate(x) for x in zip(*parts, strict=True))
+        g = g.astype(U)
+        tables, totals = _orders(g[n > 0], n[n > 0], range(SHARED, ORDER + 1), least)
+        trie = Trie(sent.value[0] + tables, sent.value[1] + totals)
+        for i in range(0, len(g), CHUNK):
+            x = g[i : i + CHUNK]
+            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(m[i : i + CHUNK]), pa.array(trie.score(x))], names=["key", "m", "value"])
+
+    # contexts of three bytes are whole in a task, and so are the longer ones that end in them
+    dealt = counts.select("key", "n", "m").repartition(F.shiftright("key", 8).bitwiseAND(F.lit(low)))
+    return dealt.mapInArrow(run, "key bigint, m bigint, value double")
+
+
+def score(docs: DataFrame, held_out: str = "held_out", floor: float = 0.0, travel: float = FLOOR) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row of docs, which has doc_id, text and held_out. floor is that of values; travel changes no result."""
     spark = docs.sparkSession
     # one place for each row, so that repeated rows stay apart
     rows = docs.select("doc_id", "text", F.coalesce(F.col(held_out), F.lit(False)).alias("held_out"))
@@ -219,25 +249,51 @@ def score(docs: DataFrame, held_out: str = "held_out", floor: float = FLOOR) ->
     n_docs = counts.where("kind = 2").agg(F.sum("n")).head()[0] or 0
     v, n = words.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).head()
     n, v = n + n_docs, v + (n_docs > 0)
-    trie = build(counts.where("kind = 0").select("key", "n"), floor)
-    common = words.where(F.col("n") >= max(1.0, floor * n)).select("key", "n").toArrow()
-    keys = common.column(0).to_numpy().astype(np.int64).view(U)
-    order = np.argsort(keys)
-    sent = spark.sparkContext.broadcast((trie, keys[order], common.column(1).to_numpy()[order]))
+    coded_grams = counts.where("kind = 0").select("key", "n", "m")
+    n_bytes = coded_grams.agg(F.sum("m")).head()[0] or 0
+    valued = cut(values(coded_grams, floor))
+
+    def often(df: DataFrame, value: str) -> tuple[np.ndarray, np.ndarray]:
+        t = df.select("key", value).toArrow()
+        keys = t.column(0).to_numpy().astype(np.int64).view(U)
+        order = np.argsort(keys)
+        return keys[order], t.column(1).to_numpy()[order]
+
+    gram_keys, gram_values = often(valued.where(F.col("m") >= max(1.0, travel * n_bytes)).withColumn("value", F.col("value").cast("float")), "value")
+    sent = spark.sparkContext.broadcast((gram_keys, gram_values, *often(words.where(F.col("n") >= max(1.0, travel * n)), "n")))
     end = n_docs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, keys, ns = sent.value
+        gram_keys, gram_values, keys, ns = sent.value
         coded = Memo(21, 1, np.float32)
         table = Memo(max(8, int(len(keys) * 2).bit_length()), 1, np.int64)
         if len(keys):
             table.put(keys, ns[:, None])
+
+        def look(g: np.ndarray) -> np.ndarray:
+            """Values of grams, nan for those that the join has."""
+            i = Trie._at(gram_keys, g)
+            return np.where(i >= 0, gram_values[np.maximum(i, 0)] if len(gram_keys) else np.nan, np.nan).astype(np.float32)
+
+        def rest(kind: int, x: np.ndarray, doc: np.ndarray, where: np.ndarray) -> Iterator[pa.RecordBatch]:
+            """Rare keys, counted by document."""
+            o = np.lexsort((x, doc))
+            x, doc = x[o], doc[o]
+            at = np.flatnonzero(np.append(True, (x[1:] != x[:-1]) | (doc[1:] != doc[:-1]))) if len(x) else np.zeros(0, int)
+            m = len(at)
+            if m:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(where[doc[at]]), pa.nulls(m, pa.int64()), pa.nulls(m, pa.bool_()), pa.array(np.full(m, kind, np.int32)), pa.array(x[at].view(np.int64)), pa.array(np.diff(np.append(at, len(x)))), pa.nulls(m, pa.int64()), pa.nulls(m, pa.float64()), pa.nulls(m, pa.float64())],
+                    names=NAMES,
+                )
+
         for batch in batches:
             rid, ids, out_of = batch.column(0), batch.column(1), batch.column(3)
             for w in split(batch, "text", lower=True, chunk=CHUNK):
                 g, first = grams(w)
-                value = coded.get(g + U(1), lambda i, g=g: trie.score(g[i]).astype(np.float32))[:, 0].astype(np.float64)
-                total = np.add.reduceat(value, first)
+                value = coded.get(g + U(1), lambda i, g=g: look(g[i]))[:, 0].astype(np.float64)
+                rare = np.isnan(value)
+                total = np.add.reduceat(np.where(rare, 0.0, value), first)
                 h, doc = w.hashes(), w.doc()
                 slot = table.slots(h)
                 hit = slot >= 0
@@ -246,41 +302,34 @@ def score(docs: DataFrame, held_out: str = "held_out", floor: float = FLOOR) ->
                 span = slice(w.first, w.last)
                 where = rid.to_numpy(zero_copy_only=False)[span]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(where), ids.slice(w.first, w.n_docs), out_of.slice(w.first, w.n_docs), pa.nulls(w.n_docs, pa.int64()), pa.array(w.counts.astype(np.int64) + 1), pa.array(known + (1 if end else 0)), pa.array(base + np.log10(end + 1.0)), pa.array(total)],
+                    [pa.array(where), ids.slice(w.first, w.n_docs), out_of.slice(w.first, w.n_docs), pa.nulls(w.n_docs, pa.int32()), pa.nulls(w.n_docs, pa.int64()), pa.array(w.counts.astype(np.int64) + 1), pa.array(known + (1 if end else 0)), pa.array(base + np.log10(end + 1.0)), pa.array(total)],
                     names=NAMES,
                 )
-                # rare words, counted by document
-                rh, rd = h[~hit], doc[~hit]
-                o = np.lexsort((rh, rd))
-                rh, rd = rh[o], rd[o]
-                at = np.flatnonzero(np.append(True, (rh[1:] != rh[:-1]) | (rd[1:] != rd[:-1]))) if len(rh) else np.zeros(0, int)
-                m = len(at)
-                if m:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(where[rd[at]]), pa.nulls(m, pa.int64()), pa.nulls(m, pa.bool_()), pa.array(rh[at].view(np.int64)), pa.array(np.diff(np.append(at, len(rh)))), pa.nulls(m, pa.int64()), pa.nulls(m, pa.float64()), pa.nulls(m, pa.float64())],
-                        names=NAMES,
-                    )
+                yield from rest(1, h[~hit], doc[~hit], where)
+                yield from rest(0, g[rare], np.searchsorted(first, np.flatnonzero(rare), "right") - 1, where)
 
     placed = rows.withColumn("rid", F.monotonically_increasing_id()).select("rid", "doc_id", "text", "held_out")
-    got = placed.mapInArrow(run, "rid bigint, doc_id bigint, held_out boolean, word bigint, n bigint, known bigint, base double, score double")
-    rare = words.where(F.col("n") < max(1.0, floor * n)).select(F.col("key").alias("k"), F.col("n").alias("c"))
-    # rows of documents meet no word; they are spread over the join by their place
-    key = F.coalesce("word", F.xxhash64("rid"))
-    joined = got.withColumn("at", key).join(rare, (F.col("at") == F.col("k")) & F.col("word").isNotNull(), "left")
-    is_word = F.col("word").isNotNull()
-    hit = is_word & F.col("c").isNotNull()
+    got = placed.mapInArrow(run, "rid bigint, doc_id bigint, held_out boolean, kind int, key bigint, n bigint, known bigint, base double, score double")
+    rare_words = words.where(F.col("n") < max(1.0, travel * n)).select(F.col("kind").alias("k"), F.col("key").alias("x"), F.log10(F.col("n") + 1.0).alias("value"))
+    rare_grams = valued.where(F.col("m") < max(1.0, travel * n_bytes)).select(F.lit(0).alias("k"), F.col("key").alias("x"), "value")
+    # rows of documents meet nothing; they are spread over the join by their place
+    placed_at = got.withColumn("at", F.coalesce("key", F.xxhash64("rid"))).withColumn("kind", F.coalesce("kind", F.lit(2)))
+    joined = placed_at.join(rare_words.unionByName(rare_grams), (F.col("at") == F.col("x")) & (F.col("kind") == F.col("k")), "left")
+    of_doc, of_word, of_gram = (F.col("kind") == i for i in (2, 1, 0))
+    hit = of_word & F.col("value").isNotNull()
+    weighed = F.col("n") * F.col("value")
     sums = joined.groupBy("rid").agg(
         F.max("doc_id").alias("doc_id"),
         F.max("held_out").alias("held_out"),
-        F.sum(F.when(~is_word, F.col("n"))).alias("n_tokens"),
-        (F.sum(F.when(~is_word, F.col("known"))) + F.coalesce(F.sum(F.when(hit, F.col("n"))), F.lit(0))).alias("n_known"),
-        (F.sum(F.when(~is_word, F.col("base"))) + F.coalesce(F.sum(F.when(hit, F.col("n") * F.log10(F.col("c") + 1.0))), F.lit(0.0))).alias("base"),
-        F.sum("score").alias("score"),
+        F.sum(F.when(of_doc, F.col("n"))).alias("n_tokens"),
+        (F.sum(F.when(of_doc, F.col("known"))) + F.coalesce(F.sum(F.when(hit, F.col("n"))), F.lit(0))).alias("n_known"),
+        (F.sum(F.when(of_doc, F.col("base"))) + F.coalesce(F.sum(F.when(hit, weighed)), F.lit(0.0))).alias("base"),
+        (F.sum("score") + F.coalesce(F.sum(F.when(of_gram, weighed)), F.lit(0.0))).alias("score"),
     )
     return sums.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("bigint").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * F.log10(F.lit(float(n + v + 1)))).alias("base_score"), "score")
 
 
-NAMES = ["rid", "doc_id", "held_out", "word", "n", "known", "base", "score"]
+NAMES = ["rid", "doc_id", "held_out", "kind", "key", "n", "known", "base", "score"]
 
 
 def adaptive_score(text: bytes, order: int = ORDER) -> float:

@@ -94,6 +94,35 @@ def test_small_texts(spark, floor):
         assert r.n_known == 1 + sum(x in c for x in normal(text).split())
 
 
+@pytest.mark.parametrize("travel", [2e-3, 2e-2, 1.0])
+def test_joined_grams_and_words(spark, travel):
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice(["ab", "abc", "Ba", "cé", "zz top", "a\tb"]) for _ in range(rng.randint(0, 12))) for _ in range(40)] + [None, "", "\x00\x00\x00\x00\x00\x00\x01", "qx ab", "qx ab"]
+    rows = [(i, t, i % 5 == 0 or i >= 43) for i, t in enumerate(texts)] + [(7, texts[7], False), (43, texts[43], True)]
+    after = reference([t for _, t, h in rows if not h], 0.0)
+    c = Counter(w for _, t, h in rows if not h for w in normal(t).split())
+    got = ppm.score(spark.createDataFrame(rows, "doc_id long, text string, held_out boolean"), travel=travel).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert abs(r.score - brute(after, texts[r.doc_id])) < 1e-4 * max(1, abs(r.score))
+        assert r.n_known == 1 + sum(x in c for x in normal(texts[r.doc_id]).split())
+
+
+def test_rare_grams_count_in_large_corpora(spark):
+    """The training text is above 1 / FLOOR bytes, so that a gram seen once is below the floor."""
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 6))) for _ in range(300)]
+    texts = [" ".join(rng.choices(words, k=1000)) for _ in range(1400)]
+    texts += ["once upon a qjxzv", "a qjxzv upon once qjxzk"]
+    rows = [(i, t, i % 100 == 50 or i == len(texts) - 1) for i, t in enumerate(texts)]
+    train = [t for _, t, h in rows if not h]
+    assert sum(len(normal(t)) for t in train) > 1 / ppm.FLOOR
+    after = reference(train, 0.0)
+    got = {r.doc_id: r.score for r in ppm.score(spark.createDataFrame(rows, "doc_id long, text string, held_out boolean")).collect()}
+    for i in (0, 50, len(texts) - 2, len(texts) - 1):
+        assert abs(got[i] - brute(after, texts[i])) < 1e-4 * abs(got[i])
+
+
 def test_no_training(spark):
     r = ppm.score(spark.createDataFrame([(1, "ab c", True)], "doc_id long, text string, held_out boolean")).collect()[0]
     assert (r.n_tokens, r.n_known, r.train_tokens, r.base_score) == (3, 0, 0, 0.0) and abs(r.score + 5 * math.log10(256)) < 1e-4
