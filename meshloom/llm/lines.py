@@ -1,8 +1,10 @@
 """Line dedup by content-defined chunks of lines.
 
-**Chunks.** A document's lines are cut into chunks after each line at which a rolling hash of it and the line before is 0 modulo
-`EVERY`, and after the last line. The choice depends on two lines only, so an inserted or lost line shifts no boundary but those beside it,
-and a passage that documents share is cut alike in all of them. **Removal.** Of the chunks with two lines or more and some non-blank
+**Chunks.** A document's lines are cut into chunks after each line whose hash is smaller than that of the line before and not larger than that of the line
+after, and after the last line; never after the first line or the last but one. So chunks have two lines or more (but for texts of one line) and three on the mean.
+The choice depends on three lines only, so an inserted or lost line shifts no boundary but those beside it, and a passage that documents share is cut alike in
+all of them. `least=1` is the rule that the SQL of `op8_line_chunks` states: after each line whose hash (the line before has no effect) is 0 modulo `EVERY`; a third of
+its chunks are single lines, so parts of repeated passages stay. **Removal.** Of the chunks with two lines or more and some non-blank
 line, equal ones are found by hash over the whole corpus and then compared byte by byte; all but the first place (smallest doc_id, then
 place in the document) are cut out. Single lines stay: lines that recur by themselves are often text of their own.
 
@@ -18,6 +20,8 @@ from meshloom.plans.lineage import cut
 
 #: mean lines of a chunk
 EVERY = 3
+#: least lines of a chunk
+LEAST = 2
 #: repeated hashes (8 bytes each) up to which they are broadcast
 BROADCAST_ROWS = 100_000
 
@@ -27,11 +31,14 @@ def line_hash(line: Column) -> Column:
     return F.conv(F.substring(F.md5(line), 1, 7), 16, 10).cast("int")
 
 
-def chunks(text: Column) -> Column:
-    """Array of structs (n_lines, body) that partition the text's lines in order."""
+def chunks(text: Column, least: int = LEAST) -> Column:
+    """Array of structs (n_lines, body) that partition the text's lines in order; least is 1 or 2."""
     def ends(h: Column) -> Column:
         last = F.size(h) - 1
-        stop = lambda i: (i == last) | ((F.get(h, i) + 3 * F.coalesce(F.get(h, i - 1), F.lit(0)).cast("bigint")) % EVERY == 0)
+        if least == 1:
+            stop = lambda i: (i == last) | ((F.get(h, i) + 3 * F.coalesce(F.get(h, i - 1), F.lit(0)).cast("bigint")) % EVERY == 0)
+        else:
+            stop = lambda i: (i == last) | ((i > 0) & (i < last - 1) & (F.get(h, i) < F.get(h, i - 1)) & (F.get(h, i) <= F.get(h, i + 1)))
         return F.filter(F.sequence(F.lit(0), last), stop)
 
     def parts(x: Column) -> Column:
@@ -42,15 +49,15 @@ def chunks(text: Column) -> Column:
     return let(split, lambda ln: let(F.transform(ln, line_hash), lambda h: let(F.struct(ends(h).alias("e"), ln.alias("l")), parts)))
 
 
-def _multi(docs: DataFrame) -> DataFrame:
+def _multi(docs: DataFrame, least: int) -> DataFrame:
     """(doc_id, at, body, h) of chunks that may go."""
-    c = docs.where("doc_id IS NOT NULL AND text <> ''").select("doc_id", F.posexplode(chunks(F.col("text"))).alias("at", "c")).select("doc_id", "at", "c.*")
+    c = docs.where("doc_id IS NOT NULL AND text <> ''").select("doc_id", F.posexplode(chunks(F.col("text"), least)).alias("at", "c")).select("doc_id", "at", "c.*")
     return c.where((F.col("n_lines") >= 2) & (F.length(F.btrim("body", F.lit(WHITE + "\n"))) > 0)).select("doc_id", "at", "body", F.xxhash64("body").alias("h"))
 
 
-def removals(docs: DataFrame) -> DataFrame:
+def removals(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """(doc_id, cut): places of the chunks to cut, for documents that lose any."""
-    c = _multi(docs)
+    c = _multi(docs, least)
     often = cut(c.select("h", "doc_id", "at").groupBy("h").agg(F.min(F.struct("doc_id", "at")).alias("a"), F.max(F.struct("doc_id", "at")).alias("b")).where("a <> b").select("h"))
     few = often.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     again = cut(c.join(F.broadcast(often) if few else often, "h"))
@@ -61,12 +68,12 @@ def removals(docs: DataFrame) -> DataFrame:
     return gone.groupBy("doc_id").agg(F.collect_set("at").alias("cut"))
 
 
-def _with_cuts(docs: DataFrame) -> tuple[DataFrame, str, str]:
+def _with_cuts(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, str, str]:
     """docs with arrays of chunks and of places to cut; the latter is null where nothing is cut."""
     name, at = fresh(docs, "cut_chunks"), fresh(docs, "all_chunks")
-    cuts = removals(docs).select(F.col("doc_id").alias("_doc"), F.col("cut").alias(name))
+    cuts = removals(docs, least).select(F.col("doc_id").alias("_doc"), F.col("cut").alias(name))
     joined = docs.join(cuts, docs["doc_id"] == cuts["_doc"], "left").drop(cuts["_doc"])
-    return joined.withColumn(at, F.when(F.col(name).isNotNull(), chunks(docs["text"]))), name, at
+    return joined.withColumn(at, F.when(F.col(name).isNotNull(), chunks(docs["text"], least))), name, at
 
 
 def _kept(name: str, at: str) -> Column:
@@ -74,9 +81,9 @@ def _kept(name: str, at: str) -> Column:
     return F.array_join(F.transform(left, lambda c: c["body"]), "\n")
 
 
-def dedup_report(docs: DataFrame) -> DataFrame:
+def dedup_report(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """(doc_id, n_lines, n_removed_lines, kept_text) of each row; null text has no lines and stays null."""
-    df, name, at = _with_cuts(docs.select("doc_id", "text"))
+    df, name, at = _with_cuts(docs.select("doc_id", "text"), least)
     n = F.when(F.col("text").isNull() | (F.col("text") == ""), 0).otherwise(F.size(F.split("text", "\n")))
     gone = F.aggregate(F.filter(F.col(at), lambda c, i: F.array_contains(F.col(name), i)), F.lit(0), lambda a, c: a + c["n_lines"])
     return df.select("doc_id", n.cast("bigint").alias("n_lines"), F.coalesce(gone, F.lit(0)).cast("bigint").alias("n_removed_lines"), F.when(F.col(name).isNull(), F.col("text")).otherwise(_kept(name, at)).alias("kept_text"))

@@ -91,7 +91,8 @@ def op8_line_chunks(spark, sf_dir):
     """Lines cut from each document, and a digest of what stays (null: of the empty text)."""
     from meshloom.llm.lines import dedup_report
 
-    got = dedup_report(read(spark, sf_dir, "documents"))
+    # the rule that the SQL states
+    got = dedup_report(read(spark, sf_dir, "documents"), least=1)
     return got.select("doc_id", "n_lines", "n_removed_lines", F.sha2(F.coalesce("kept_text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
