@@ -1,10 +1,10 @@
 """Layout of block grids and rows over workers: metadata relations and their arithmetic."""
 
-import math
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from meshloom.functions.scalars import gcd
+
 
 def block_layout(spark: SparkSession, rows: int, cols: int, n: int) -> DataFrame:
     """(rank, indl, indc, dim_l, dim_c, start_row, end_row, start_col, end_col), ends inclusive, for a grid of rows x cols blocks."""
@@ -23,7 +23,7 @@ def ranking_layout(spark: SparkSession, rows: int, cols: int, n: int, transposed
 
     For the plain matrix the groups follow the columns of the grid, for the transposed one the rows.
     """
-    g = math.gcd(rows, cols)
+    g = gcd(rows, cols)
     own, other, dim, k = (rows // g, cols // g, "dim_l", rows) if transposed else (cols // g, rows // g, "dim_c", cols)
     along, across = (F.col("indl"), F.col("indc")) if transposed else (F.col("indc"), F.col("indl"))
     step = (cols / rows) if transposed else (rows / cols)

@@ -1,10 +1,12 @@
 """Generators of graphs and matrices. All draws are hashes of seed and ids, so they do not depend on partitioning."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from meshloom.functions.hashing import uniform
 from meshloom.operators.brain import Brain, neuron_types
+from meshloom.operators.matrix import row_pointers
 
 # Fixed values of the deterministic dense matrix.
 PRNG_1 = 0x00473EE661D
@@ -36,12 +38,17 @@ def brain_edges_transposed(brain: Brain, seed: int = 0) -> DataFrame:
 
 
 def uniform_edges(spark: SparkSession, n: int, zero_pct: float, seed: int = 0, truncate: bool = False) -> DataFrame:
-    """(row, col, value 1) off the diagonal, each cell kept if its draw exceeds zero_pct percent; truncate keeps the first n * (100 - zero_pct) / 100 entries of each row in column order."""
+    """(row, col, value 1) off the diagonal, each cell kept if its draw exceeds zero_pct percent.
+
+    truncate keeps the first n * n * (100 - zero_pct) / 100 entries in row-major order, as a buffer of the expected size would. An entry's place is the
+    number of entries in the rows before, by a two-level running sum, and its place within the row.
+    """
     kept = square(spark, n).where((F.col("row") != F.col("col")) & (uniform(f"uniform{seed}", F.col("row"), F.col("col")) > F.lit(zero_pct / 100)))
     if truncate:
-        from pyspark.sql import Window
-
-        kept = kept.withColumn("k", F.row_number().over(Window.partitionBy("row").orderBy("col"))).where(F.col("k") <= int(n * (100 - zero_pct) / 100)).drop("k")
+        most = int(n * n * (100 - zero_pct) / 100)
+        before = row_pointers(kept, n).select("row", "start").where(F.col("start") < most)
+        place = F.col("start") + F.row_number().over(Window.partitionBy("row").orderBy("col"))
+        kept = kept.join(before, "row").withColumn("place", place).where(F.col("place") <= most)
     return kept.select("row", "col", F.lit(1).alias("value"))
 
 
@@ -67,16 +74,21 @@ def dense_decimal(spark: SparkSession, n: int, seed: int = 0) -> DataFrame:
 
 
 def deterministic_dense(spark: SparkSession, n: int) -> DataFrame:
-    """The published matrix without randomness; products are masked to 31 bits first, so that no size overflows."""
-    i, j = F.col("row"), F.col("col")
+    """The published matrix without randomness, all cells (row, col, value)."""
+    return square(spark, n).withColumn("value", deterministic_value(F.col("row"), F.col("col"), n))
+
+
+def deterministic_value(i: Column, j: Column, n: int) -> Column:
+    """The cell (i, j); factors and products are masked to 31 bits, so that no index below 2^62 overflows; cells whose distance from the diagonal is a power of two need indices below 2^28."""
     low = lambda x: x.bitwiseAND(F.lit(MASK))
-    base = low(low(low(i * i) * F.lit(PRNG_1 & MASK)) + low(low(j * j) * F.lit(PRNG_2 & MASK))) / F.lit(float(MASK)) / F.lit(float(n))
+    square_of = lambda x: low(low(x) * low(x))
+    base = low(low(square_of(i) * F.lit(PRNG_1 & MASK)) + low(square_of(j) * F.lit(PRNG_2 & MASK))) / F.lit(float(MASK)) / F.lit(float(n))
     gap = F.abs(j - i)
     power = (gap > 0) & (gap.bitwiseAND(gap - 1) == 0)
     # upper diagonals use i - k, lower ones i + k
     other = F.when(j > i, i - gap).otherwise(i + gap)
     special = (other * F.lit(PRNG_2) + i * F.lit(PRNG_1)) % F.lit(RANGE)
-    return square(spark, n).withColumn("value", F.when(power, special.cast("double")).otherwise(base))
+    return F.when(power, special.cast("double")).otherwise(base)
 
 
 def neuron_sample(n: int, spark: SparkSession, rows: int | None = None) -> DataFrame:

@@ -94,3 +94,8 @@ def preview(m: DataFrame, n: int, most: int = 32) -> DataFrame:
 def vector_preview(vec: DataFrame, n: int) -> DataFrame:
     """The whole vector up to 64 entries, else the first two and the last."""
     return vec if n <= 64 else vec.where((F.col("idx") < 2) | (F.col("idx") == n - 1))
+
+
+def gathered(vec: DataFrame) -> DataFrame:
+    """The whole vector in index order, as ranges of indices over tasks."""
+    return vec.orderBy("idx")

@@ -1,12 +1,16 @@
 """Registered graph and matrix queries with their SQL. Each takes (spark, sf_dir) and runs over whole tables."""
 
+import json
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meshloom.functions import scalars
 from meshloom.functions.hashing import uniform_sql
 from meshloom.operators import blocks, brain, generate, linalg, matrix
-from meshloom.plans import rank
+from meshloom.plans import lineage, rank
+from meshloom.sources import brain_json, vectors
 from meshloom.sources import tables as t
 
 QUERIES: dict = {}
@@ -97,22 +101,31 @@ def _probes(spark):
 
 PROBES = "SELECT i AS row, j AS col FROM range(30) a(i), range(-1, 27) b(j)"
 OUTSIDE = f"p.row < 0 OR p.row >= {N} OR p.col < 0 OR p.col >= {N}"
-SPARSE = f"SELECT * FROM ({S['trade']}) WHERE value % 3 = 0"
+SPARSE = f"SELECT row, col, value FROM ({S['sparse']})"
+
+
+def _sparse(spark, d, value: str = "value") -> DataFrame:
+    return t.region_suppliers(spark, d).select("row", "col", F.col(value).alias("value"))
 
 
 @query(f"SELECT p.row, p.col, CASE WHEN {OUTSIDE} THEN -1 ELSE coalesce(m.value, 0) END AS value FROM ({PROBES}) p LEFT JOIN ({SPARSE}) m ON m.row = p.row AND m.col = p.col")
 def csr_lookup(spark, d):
-    return matrix.lookup(t.nation_trade(spark, d).where("value % 3 = 0"), _probes(spark), N, N)
+    return matrix.lookup(_sparse(spark, d), _probes(spark), N, N)
 
 
 @query(f"SELECT p.row, p.col, CASE WHEN {OUTSIDE} THEN -1 WHEN m.value IS NULL THEN 0 ELSE 1 END AS value FROM ({PROBES}) p LEFT JOIN ({SPARSE}) m ON m.row = p.row AND m.col = p.col")
 def coo_lookup(spark, d):
-    return matrix.lookup(t.nation_trade(spark, d).where("value % 3 = 0"), _probes(spark), N, N, found_as_one=True)
+    return matrix.lookup(_sparse(spark, d), _probes(spark), N, N, found_as_one=True)
+
+
+@query(f"SELECT p.row, p.col, CASE WHEN {OUTSIDE} THEN -1.0 ELSE coalesce(round(m.balance, 2), 0.0) END AS value FROM ({PROBES}) p LEFT JOIN ({S['sparse']}) m ON m.row = p.row AND m.col = p.col")
+def csr_lookup_double(spark, d):
+    return rounded(matrix.lookup(_sparse(spark, d, "balance"), _probes(spark), N, N), 2)
 
 
 @query(f"SELECT i AS row, j AS col, coalesce(value, 0) AS value FROM range({N}) a(i) CROSS JOIN range({N}) b(j) LEFT JOIN ({SPARSE}) ON row = i AND col = j")
 def csr_to_dense(spark, d):
-    return matrix.coo_to_dense(t.nation_trade(spark, d).where("value % 3 = 0"), N, N)
+    return matrix.coo_to_dense(_sparse(spark, d), N, N)
 
 
 @query(SPARSE)
@@ -127,7 +140,7 @@ def count_zeros(spark, d):
 
 @query(f"SELECT i AS row, string_agg(CAST(coalesce(value, 0) AS VARCHAR), ' ' ORDER BY j) AS text FROM range({N}) a(i) CROSS JOIN range({N}) b(j) LEFT JOIN ({SPARSE}) ON row = i AND col = j GROUP BY i")
 def matrix_preview(spark, d):
-    return matrix.preview(t.nation_trade(spark, d).where("value % 3 = 0"), N)
+    return matrix.preview(_sparse(spark, d), N)
 
 
 @query(S["transitions"])
@@ -215,6 +228,66 @@ def vector_preview(spark, d):
     return matrix.vector_preview(b, max(65, b.agg(F.max("idx")).head()[0] + 1))
 
 
+@query("SELECT c_custkey AS idx, c_acctbal AS value FROM customer ORDER BY c_custkey")
+def vector_gathered(spark, d):
+    return matrix.gathered(t.balances(spark, d))
+
+
+# sources and sinks
+
+
+def _written(spark, write, read) -> DataFrame:
+    """What read(path) gives after write(path), in a folder of its own that goes afterwards."""
+    path = f"{lineage.shared_folder(spark)}/written-{uuid.uuid4().hex}"
+    write(path)
+    got = lineage.cut(read(path))
+    lineage.delete(spark, path)
+    return got
+
+
+@query("SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS idx, c_acctbal AS value FROM customer")
+def vector_text(spark, d):
+    """Balances written as a text vector and read back."""
+    return _written(spark, lambda path: vectors.write_vector(t.balances(spark, d), path), lambda path: vectors.read_vector(spark, path))
+
+
+#: a configuration of two parts: name, id, share of connections to the other side, distribution, ids, types (name, ids, connections)
+MODEL = [("stem", 0, 0.2, [0.8, 0.2], 20, [("x", 15, 2), ("y", 5, 4)]), ("leaf", 1, 0.1, [0.5, 0.5], 10, [("z", 10, 1)])]
+
+
+def _json_model(spark, tables) -> DataFrame:
+    config = [{"namePart": a, "id": i, "connectionOpposite": o, "distribution": p, "nbTypeNeuron": len(k), "nbNeuron": n, "typeNeuron": [{"name": x, "nbNeuron": c, "nbConnection": m} for x, c, m in k]} for a, i, o, p, n, k in MODEL]
+    return _written(spark, lambda path: spark.createDataFrame([(json.dumps(config),)], "value string").coalesce(1).write.text(path), lambda path: tables(brain_json.read_brain(spark, path)))
+
+
+def _model_sql() -> dict[str, str]:
+    """The model's tables from its configuration, two sides of each part."""
+    parts = "(VALUES " + ", ".join(f"({i}, {n}, CAST({o} AS DOUBLE))" for _, i, o, _, n, _ in MODEL) + ") p(id, n, o)"
+    kinds = "(VALUES " + ", ".join(f"({i}, {j}, {c}, {m})" for _, i, _, _, _, k in MODEL for j, (_, c, m) in enumerate(k)) + ") k(id, type, c, m)"
+    dist = "(VALUES " + ", ".join(f"({i}, {j}, CAST({x} AS DOUBLE))" for _, i, _, p, _, _ in MODEL for j, x in enumerate(p)) + ") d(id, dst, x)"
+    k = len(MODEL)
+    return {
+        "parts": f"SELECT CAST(s * {k} + id AS INT) AS part, CAST(sum(n / 2) OVER (ORDER BY s, id) - n / 2 AS BIGINT) AS lo, CAST(sum(n / 2) OVER (ORDER BY s, id) AS BIGINT) AS hi FROM range(2) r(s), {parts}",
+        "types": f"SELECT CAST(s * {k} + p.id AS INT) AS part, CAST(type AS INT) AS type, round(CAST(sum(c) OVER w - c AS DOUBLE) / n, 10) AS cum_lo, round(CAST(sum(c) OVER w AS DOUBLE) / n, 10) AS cum_hi FROM range(2) r(s), {parts} JOIN {kinds} ON k.id = p.id WINDOW w AS (PARTITION BY s, p.id ORDER BY type)",
+        "probs": f"SELECT CAST(a.s * {k} + p.id AS INT) AS src_part, CAST(type AS INT) AS src_type, CAST(b.s * {k} + dst AS INT) AS dst_part, round(CASE WHEN a.s = b.s THEN 1 - o ELSE o END * x * m / {sum(m[4] for m in MODEL)}, 12) AS p FROM range(2) a(s), range(2) b(s), {parts} JOIN {kinds} ON k.id = p.id JOIN {dist} ON d.id = p.id",
+    }
+
+
+@query(_model_sql()["parts"])
+def json_model_parts(spark, d):
+    return _json_model(spark, lambda b: b.parts)
+
+
+@query(_model_sql()["types"])
+def json_model_types(spark, d):
+    return rounded(_json_model(spark, lambda b: b.types), 10, "cum_lo", "cum_hi")
+
+
+@query(_model_sql()["probs"])
+def json_model_probs(spark, d):
+    return rounded(_json_model(spark, lambda b: b.probs), 12, "p")
+
+
 # ranking
 
 
@@ -250,6 +323,13 @@ def pagerank_transposed_k5(spark, d):
     return rounded(rank.pagerank_fixed(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")), 5, 0.85))
 
 
+@query(ranked_sql(f"SELECT dst AS src, src AS dst FROM ({S['cs_edges']})", 5, 0.85))
+def pagerank_transposed(spark, d):
+    """From the transposed matrix itself: rows are destinations, columns sources."""
+    e = t.customer_supplier_edges(spark, d).select(F.col("src").alias("row"), F.col("dst").alias("col"))
+    return rounded(rank.pagerank_transposed(e, beta=0.85, max_iter=5).ranks)
+
+
 @query(ranked_sql(S["links"], 5, 0.85))
 def pagerank_pages_k5(spark, d):
     return rounded(rank.pagerank_fixed(t.page_links(spark, d), 5, 0.85))
@@ -271,13 +351,13 @@ def dangling_vertices(spark, d):
     return rank.dangling(t.page_links(spark, d))
 
 
-def power_sql(m: str, n: int, k: int, norm: str, digits: int = 9) -> str:
+def power_sql(m: str, n: int, k: int, norm: str, digits: int = 9, single: bool = False) -> str:
     size = "sqrt(sum(value * value))" if norm == "l2" else "sum(abs(value))"
     parts = [f"m AS MATERIALIZED ({m})", f"x0 AS (SELECT i AS idx, CAST(1.0 AS DOUBLE) / {n} AS value FROM range({n}) r(i))"]
     for i in range(k):
         parts += [
             f"y{i} AS MATERIALIZED (SELECT x.idx, coalesce(p.v, 0) AS value FROM x0 x LEFT JOIN (SELECT m.row AS idx, sum(m.value * z.value) AS v FROM m JOIN x{i} z ON m.col = z.idx GROUP BY m.row) p ON p.idx = x.idx)",
-            f"x{i + 1} AS MATERIALIZED (SELECT idx, value / (SELECT {size} FROM y{i}) AS value, (SELECT {size} FROM y{i}) AS eigenvalue FROM y{i})",
+            f"x{i + 1} AS MATERIALIZED (SELECT idx, {'CAST(CAST(' if single else ''}value / (SELECT {size} FROM y{i}){' AS FLOAT) AS DOUBLE)' if single else ''} AS value, (SELECT {size} FROM y{i}) AS eigenvalue FROM y{i})",
         ]
     return f"WITH {', '.join(parts)} SELECT idx, round(value, {digits}) AS value, round(eigenvalue, 5) AS eigenvalue FROM x{k}"
 
@@ -292,6 +372,13 @@ def power_l1_k6(spark, d):
     return rounded(rounded(rank.power_fixed(t.gram(spark, d), 64, 6, "l1"), 8), 5, "eigenvalue")
 
 
+@query(power_sql(S["trade"], N, 30, "l1", 5, single=True).replace("round(eigenvalue, 5)", "round(eigenvalue, 1)"))
+def power_single(spark, d):
+    """In 32 bits, until the step is at most 1e-5."""
+    got = rank.power_method(t.nation_trade(spark, d), N, "l1", eps=1e-5, single=True)
+    return rounded(got.vector, 5).select("idx", "value", F.round(F.lit(got.eigenvalue), 1).alias("eigenvalue"))
+
+
 @query(f"WITH x AS MATERIALIZED ({power_sql(S['trade'], N, 40, 'l2', 12)}) SELECT round(max(eigenvalue), 4) AS eigenvalue, true AS small FROM x")
 def eigen_residual(spark, d):
     trade = t.nation_trade(spark, d)
@@ -359,6 +446,26 @@ def brain_scaled(spark, d):
     return rounded(brain.hard_brain(spark, 128, "0.35").probs, 12, "p")
 
 
+@query(f"SELECT src_part, src_type, dst_part, round(p * 0.1, 12) AS p FROM {M['probs']}")
+def brain_scaled_tenth(spark, d):
+    return rounded(brain.hard_brain(spark, 128, "3.5").probs, 12, "p")
+
+
+@query(f"SELECT src_part, src_type, dst_part, round(p * 0.001, 12) AS p FROM {M['probs']}")
+def brain_scaled_thousandth(spark, d):
+    return rounded(brain.hard_brain(spark, 128, "0.035").probs, 12, "p")
+
+
+@query(f"SELECT part, CAST(lo AS BIGINT) AS lo, CAST(hi AS BIGINT) AS hi, src_type, dst_part, p FROM {M['parts']} JOIN {M['probs']} ON src_part = part")
+def brain_tables(spark, d):
+    """The model written as tables and loaded again."""
+    def load(path):
+        b = brain_json.load_brain(spark, path)
+        return b.parts.join(b.probs, F.col("part") == F.col("src_part")).select("part", "lo", "hi", "src_type", "dst_part", "p")
+
+    return _written(spark, lambda path: brain_json.write_brain(brain.hard_brain(spark, 128), path), load)
+
+
 @query(f"SELECT t.part, CAST(lo AS BIGINT) AS lo, CAST(hi AS BIGINT) AS hi, t.type, t.cum_hi, s.p FROM {M['types']} t JOIN {M['parts']} r ON r.part = t.part JOIN (SELECT src_part, src_type, string_agg(printf('%.2f', p), ',' ORDER BY dst_part) AS p FROM {M['probs']} GROUP BY ALL) s ON src_part = t.part AND src_type = t.type")
 def brain_recap(spark, d):
     return brain.recap(brain.hard_brain(spark, 128)).withColumn("p", F.array_join(F.transform("p", lambda x: F.format_string("%.2f", x)), ","))
@@ -401,7 +508,7 @@ def uniform_edges(spark, d):
     return generate.uniform_edges(spark, 100, 75)
 
 
-@query(f"SELECT row, col, value FROM ({UNIFORM}) QUALIFY row_number() OVER (PARTITION BY row ORDER BY col) <= 25")
+@query(f"SELECT row, col, value FROM ({UNIFORM}) QUALIFY row_number() OVER (ORDER BY row, col) <= 100 * 100 * 25 // 100")
 def uniform_edges_truncated(spark, d):
     return generate.uniform_edges(spark, 100, 75, truncate=True)
 
@@ -416,6 +523,12 @@ def dense_binary_64(spark, d):
     return generate.dense_binary(spark, 64, 75, clear_diagonal=True)
 
 
+@query(f"SELECT i AS row, j AS col, CASE WHEN {uniform_sql('dense0', 'i', 'j')} < 75 / 100.0 THEN 0 ELSE 1 END AS value FROM range(64) a(i), range(64) b(j)")
+def dense_binary_diagonal(spark, d):
+    """The diagonal is drawn like any cell."""
+    return generate.dense_binary(spark, 64, 75)
+
+
 @query(f"SELECT i AS row, j AS col, CASE WHEN {uniform_sql('zero0', 'i', 'j')} >= 0.5 THEN floor({uniform_sql('value0', 'i', 'j')} * 1000) / 10.0 ELSE CAST(0 AS DOUBLE) END AS value FROM range(64) a(i), range(64) b(j)")
 def dense_decimal_64(spark, d):
     return generate.dense_decimal(spark, 64)
@@ -469,6 +582,14 @@ def neuron_sample(spark, d):
     return generate.neuron_sample(128, spark, 64)
 
 
-@query("SELECT min(l_quantity) AS least, max(l_quantity) AS most, round(avg(l_quantity), 8) AS mean FROM lineitem")
+@query(f"SELECT min(seconds) AS least, max(seconds) AS most, round(avg(seconds), 6) AS mean FROM ({S['gaps']}) WHERE seconds IS NOT NULL")
 def run_times(spark, d):
-    return rounded(blocks.run_times(t.table(spark, d, "lineitem").select(F.col("l_quantity").alias("seconds"))), 8, "mean")
+    """Of the times between users' events; `Ranking.step_seconds` holds those of a ranking's own steps."""
+    return rounded(blocks.run_times(t.event_gaps(spark, d)), 6, "mean")
+
+
+@query("SELECT n, workers, max(p) AS fitting FROM range(90, 110) a(n), (VALUES (7), (12), (64)) w(workers), range(1, 65) r(p) WHERE p <= workers AND n % p = 0 GROUP BY ALL")
+def fitting_workers(spark, d):
+    """The most workers that divide the rows evenly; a report over 60 pairs of numbers."""
+    rows = [(n, w, blocks.fitting_workers(n, w)) for n in range(90, 110) for w in (7, 12, 64)]
+    return spark.createDataFrame(rows, "n long, workers int, fitting long")

@@ -1,6 +1,9 @@
 """Graphs, matrices and vectors derived from the star-schema tables, each with its SQL text."""
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 #: added to part keys so that both sides of the supplier-part graph share one id space
@@ -38,6 +41,22 @@ def nation_trade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.groupBy(F.col("c_nationkey").cast("bigint").alias("row"), F.col("s_nationkey").cast("bigint").alias("col")).agg(F.sum("n").cast("int").alias("value"))
 
 
+def region_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sparse COO matrix (row nation, col nation of the same region, value suppliers of col, balance sum of their balances)."""
+    n = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
+    s = table(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.count("*").cast("int").alias("value"), F.sum("s_acctbal").alias("balance"))
+    other = n.select(F.col("n_nationkey").alias("col"), "n_regionkey")
+    return n.join(other, "n_regionkey").join(s, F.col("col") == s.s_nationkey).select(F.col("n_nationkey").cast("bigint").alias("row"), F.col("col").cast("bigint").alias("col"), "value", "balance")
+
+
+def event_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(seconds): times between a user's consecutive events."""
+    e = table(spark, sf_dir, "events")
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    return e.select(((at - F.lag(at).over(w)) / F.lit(1e6)).alias("seconds")).where("seconds IS NOT NULL")
+
+
 def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Page to href, distinct (src string, dst string)."""
     p = table(spark, sf_dir, "pages")
@@ -46,8 +65,6 @@ def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def event_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """COO matrix (row event type, col the same user's next event type, value count)."""
-    from pyspark.sql import Window
-
     e = table(spark, sf_dir, "events")
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     return e.select(F.col("event_type").alias("row"), F.lead("event_type").over(w).alias("col")).where("col IS NOT NULL").groupBy("row", "col").agg(F.count("*").cast("int").alias("value"))
@@ -59,10 +76,24 @@ def balances(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dense symmetric Gram matrix of the embedding columns (row, col, value): the products of the 64 columns summed over all vectors."""
-    e = table(spark, sf_dir, "embeddings")
-    cells = e.select(F.posexplode("embedding").alias("row", "a"), "embedding").select("row", F.posexplode("embedding").alias("col", "b"), "a")
-    return cells.groupBy(F.col("row").cast("bigint").alias("row"), F.col("col").cast("bigint").alias("col")).agg(F.sum(F.col("a").cast("double") * F.col("b").cast("double")).alias("value"))
+    """Dense symmetric Gram matrix of the embedding columns (row, col, value): the products of the 64 columns summed over all vectors.
+
+    Each task sums whole batches of vectors to one matrix, so a vector is never blown up to its products. Null vectors are skipped.
+    """
+
+    def run(batches):
+        total = None
+        for batch in batches:
+            vectors = batch.column(0).drop_null()
+            if len(vectors):
+                x = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), -1)
+                total = x.T @ x + (0.0 if total is None else total)
+        if total is not None:
+            at = np.indices(total.shape).reshape(2, -1)
+            yield pa.RecordBatch.from_arrays([pa.array(at[0]), pa.array(at[1]), pa.array(total.ravel())], names=["row", "col", "value"])
+
+    sums = table(spark, sf_dir, "embeddings").select("embedding").mapInArrow(run, "row bigint, col bigint, value double")
+    return sums.groupBy("row", "col").agg(F.sum("value").alias("value"))
 
 
 SQL = {
@@ -70,6 +101,8 @@ SQL = {
     "sp_edges": f"SELECT DISTINCT l_suppkey AS src, l_partkey + {PART_BASE} AS dst FROM lineitem UNION ALL SELECT DISTINCT l_partkey + {PART_BASE} AS src, l_suppkey AS dst FROM lineitem",
     "cs_edges": "SELECT DISTINCT o_custkey AS src, l_suppkey AS dst FROM orders JOIN lineitem ON o_orderkey = l_orderkey",
     "trade": "SELECT CAST(c_nationkey AS BIGINT) AS row, CAST(s_nationkey AS BIGINT) AS col, CAST(count(*) AS INT) AS value FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL",
+    "sparse": "SELECT CAST(a.n_nationkey AS BIGINT) AS row, CAST(b.n_nationkey AS BIGINT) AS col, CAST(count(*) AS INT) AS value, sum(s_acctbal) AS balance FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey JOIN supplier ON s_nationkey = b.n_nationkey GROUP BY ALL",
+    "gaps": "SELECT (epoch_us(CAST(ts AS TIMESTAMP)) - lag(epoch_us(CAST(ts AS TIMESTAMP))) OVER (PARTITION BY user_id ORDER BY ts, event_id)) / 1e6 AS seconds FROM events",
     "links": "SELECT DISTINCT 'page:' || CAST(page_id AS VARCHAR) AS src, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS dst FROM pages",
     "transitions": "SELECT row, col, CAST(count(*) AS INT) AS value FROM (SELECT event_type AS row, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS col FROM events) WHERE col IS NOT NULL GROUP BY ALL",
     "balances": "SELECT c_custkey AS idx, c_acctbal AS value FROM customer",
