@@ -1,6 +1,6 @@
 """Words of Arrow text columns as numpy arrays, without a Python object for each word or document.
 
-A word is `[^\\x20\\x09-\\x0D]+`. Texts are handled whole, in chunks of about `CHUNK` bytes; a longer text is a chunk of its own.
+A word is `[^\\x20\\x09-\\x0D]+`. Texts are handled whole, in chunks of about `CHUNK` bytes and at most `ROWS` rows; a longer text is a chunk of its own.
 """
 
 from collections.abc import Iterator
@@ -10,8 +10,10 @@ import numpy as np
 import pyarrow as pa
 
 CHUNK = 2 << 20
-#: bytes hashed at a time
-SLICE = 1 << 20
+#: most rows of a chunk
+ROWS = 1 << 15
+#: bytes hashed at a time, and keys that a table asks for at a time
+SLICE, STEP = 1 << 20, 1 << 16
 U = np.uint64
 
 SPACE = np.zeros(256, bool)
@@ -103,7 +105,7 @@ def split(batch: pa.RecordBatch, column: str = "text", lower: bool = False, chun
     data, off = texts(batch, column)
     first, n = 0, len(off) - 1
     while first < n:
-        last = max(first + 1, int(np.searchsorted(off, off[first] + chunk, "right")) - 1)
+        last = min(n, first + ROWS, max(first + 1, int(np.searchsorted(off, off[first] + chunk, "right")) - 1))
         part, o = data[off[first] : off[last]], off[first : last + 1] - off[first]
         if lower:
             part = LOWER[part]
@@ -175,7 +177,7 @@ class Memo:
         return out
 
     def put(self, h: np.ndarray, values: np.ndarray) -> None:
-        """Distinct new keys."""
+        """Distinct new keys, at most half the table's size."""
         if len(h) > self.mask // 2:
             raise ValueError("more keys at once than half the table")
         if self.used + len(h) > 3 * (self.mask + 1) // 4:
@@ -197,20 +199,18 @@ class Memo:
         self.used += len(h)
 
     def get(self, h: np.ndarray, make) -> np.ndarray:
-        """Values of all keys; make(places of distinct missing keys) gives the missing ones."""
+        """Values of all keys; make(places of distinct missing keys) gives the missing ones, at most `STEP` at a time.
+
+        Known values are read before anything is forgotten and new ones are not read back, so a call may have more keys than the table holds.
+        """
         at = self.slots(h)
         lost = np.flatnonzero(at < 0)
+        out = self.values[np.maximum(at, 0)]
         if len(lost):
-            most = self.mask // 2
-            _, first = np.unique(h[lost], return_index=True)
+            _, first, which = np.unique(h[lost], return_index=True, return_inverse=True)
             new = lost[first]
-            if len(new) > most:  # one text with more different words than half the table
-                mid = len(h) // 2
-                return np.concatenate([self.get(h[:mid], make), self.get(h[mid:], lambda i: make(i + mid))])
-            made = make(new)
-            before = self.used
-            self.put(h[new], made.reshape(len(new), -1))
-            if self.used < before + len(new):  # it forgot
-                return self.get(h, make)
-            at[lost] = self.slots(h[lost])
-        return self.values[at]
+            made = np.concatenate([np.asarray(make(new[i : i + STEP])).reshape(-1, out.shape[1]) for i in range(0, len(new), STEP)]).astype(out.dtype)
+            out[lost] = made[which]
+            some = slice(0, self.mask // 2)
+            self.put(h[new[some]], made[some])
+        return out

@@ -43,7 +43,12 @@ def test_query_whole_table(spark):
 
 
 def test_memo_forgets_and_stays_right():
+    """Calls with more new, known or distinct keys than the table holds."""
     m, rng = Memo(bits=8), np.random.default_rng(0)
-    for _ in range(30):
-        h = rng.integers(1, 400, 300).astype(np.uint64)
+    for n, top in [(300, 400)] * 30 + [(120, 130), (220, 260), (3000, 10_000), (0, 2), (250, 10_000)]:
+        h = rng.integers(1, top, n).astype(np.uint64)
         assert (m.get(h, lambda i, h=h: (h[i] * 3).astype(np.int32))[:, 0] == h * 3).all()
+    known = np.arange(1, 121, dtype=np.uint64)
+    m.get(known, lambda i: known[i].astype(np.int32))
+    both = np.arange(1, 221, dtype=np.uint64)
+    assert (m.get(both, lambda i: both[i].astype(np.int32))[:, 0] == both).all()
