@@ -6,12 +6,14 @@ A window is 50 consecutive words; a word goes if a window over it also starts in
 only be equal where the chosen k-mer is, and one k-mer in about 13 is enough. k-mers that only one document has end here.
 **Compaction.** The remaining k-mers are edges of a graph in which a document is a walk. If every occurrence of one edge is followed by the same edge at
 the same distance, and that one always preceded by it, nothing branches between them. Such edges are compacted by pointer doubling, in joins, to paths. All of a path
-lies in the same documents. **Verification by coordinates.** So where a document holds a path of 50 words or more whose first holder is another, all of the path's span
-goes, without looking at its windows. The windows that stick out of their path are hashed from the texts, and compared by hash with those of all other documents.
-Windows of equal words are judged alike by this rule, as it looks at nothing but the window's own words and the path.
-
-Documents of equal word sequences are one document from the start. Edge cases: null and short texts lose nothing (unless an equal text of 50 words or more came before);
-rows that repeat a document with its id get equal results; rows of null id neither lose words nor make others lose any; k-mers and windows are compared as 64-bit hashes.
+lies in the same documents. **Verification by coordinates.** At the coordinates of each occurrence, the words are read from the text: of a path of 50 words or more all of its span at
+once, and each window that sticks out of its path by itself. They are compared as 128-bit digests of the words' bytes; what also lies in a document of smaller id
+goes. So graph and hashes only propose, and no word goes for a colliding hash. Windows of equal words are proposed alike, as that depends on nothing but the window's own words and the path.
+
+Documents of equal word sequences are one document from the start. Edge cases: null, empty and short texts lose nothing (unless an equal text of 50 words or more came
+before); rows that repeat a document with its id get equal results; if one id has several texts, each is a document of that id, and none of them is earlier than another; rows of null
+id neither lose words nor make others lose any; of documents with equal ids (ties) each keeps its words; an empty table gives an empty result; extra columns are not
+read, whatever their names. A very long text is handled whole, in one task, with some 100 bytes of arrays a word; k-mers are sampled by 64-bit hashes.
 """
 
 import hashlib
@@ -22,14 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshloom.llm.arrow_text import BASE, U, Words, mix, split, windows
+from meshloom.llm.arrow_text import U, Words, split, windows
+from meshloom.llm.joins import if_small, lookup
 from meshloom.plans.lineage import cut
 
 WINDOW, KMER = 50, 25
 SPREAD = WINDOW - KMER + 1
 TOP = U(0xFFFFFFFFFFFFFFFF)
-#: rows of 16 bytes, and ids, up to which a side is broadcast
-BROADCAST_ROWS = 500_000
 
 
 def _sliding(x: np.ndarray, n: int, f) -> np.ndarray:
@@ -60,8 +61,13 @@ def minimizers(w: Words, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndar
     return k, least, at, np.searchsorted(w.bounds, at, "right") - 1
 
 
+def tagged(docs: DataFrame) -> DataFrame:
+    """(doc_id, tag, text): the tag tells texts of one id apart."""
+    return docs.select("doc_id", F.xxhash64("text").alias("tag"), "text")
+
+
 def survey(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_words, name, sha, at, kmer, nxt, gap): a row for each row; arrays in order. nxt is the next chosen k-mer if it touches this one, else 0; sha is that of all words."""
+    """(doc_id, tag, n_words, name, sha, at, kmer, nxt, gap): a row for each row; arrays in order. nxt is the next chosen k-mer if it touches this one, else 0; sha is that of all words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -82,9 +88,9 @@ def survey(docs: DataFrame) -> DataFrame:
                     sha = hashlib.sha256(b" ".join(raw.split()))
                     names.append(sha.digest()[:16])
                     shas.append(sha.hexdigest())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(w.first, w.n_docs), pa.array(w.counts.astype(np.int64)), pa.array(names, pa.binary()), pa.array(shas), *lists], names=["doc_id", "n_words", "name", "sha", "at", "kmer", "nxt", "gap"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(w.first, w.n_docs), batch.column(1).slice(w.first, w.n_docs), pa.array(w.counts.astype(np.int64)), pa.array(names, pa.binary()), pa.array(shas), *lists], names=["doc_id", "tag", "n_words", "name", "sha", "at", "kmer", "nxt", "gap"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_words bigint, name binary, sha string, at array<int>, kmer array<bigint>, nxt array<bigint>, gap array<int>")
+    return tagged(docs).mapInArrow(run, "doc_id bigint, tag bigint, n_words bigint, name binary, sha string, at array<int>, kmer array<bigint>, nxt array<bigint>, gap array<int>")
 
 
 def paths(occurrences: DataFrame) -> DataFrame:
@@ -108,64 +114,76 @@ def paths(occurrences: DataFrame) -> DataFrame:
     return at.join(reach, "to").join(after.select("kmer", "first_doc"), "kmer").select("kmer", "first_doc", "off", "reach")
 
 
-def _narrow(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(doc_id, text) of the given distinct ids, before any shuffle if they are few."""
-    few = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+def _narrow(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """(doc_id, tag, text), once each, of the given distinct (doc_id, tag), before any shuffle if they are few."""
+    return tagged(docs).join(if_small(keys), ["doc_id", "tag"], "left_semi").dropDuplicates(["doc_id", "tag"])
 
 
-def open_windows(docs: DataFrame, marks: DataFrame) -> DataFrame:
-    """(doc_id, start, h) of windows whose k-mer is in marks(doc_id, marks array of (at, start, stop)) and that stick out of its path."""
+def _digests(text: bytes, starts: np.ndarray, stops: np.ndarray) -> list[bytes]:
+    """128 bits of the words from each start up to each stop, joined by a space."""
+    w = text.split()
+    joined = b" ".join(w)
+    at = np.concatenate([[0], np.cumsum([len(x) + 1 for x in w])])
+    return [hashlib.blake2b(joined[a:b], digest_size=16).digest() for a, b in zip(at[starts].tolist(), (at[stops] - 1).tolist(), strict=True)]
+
+
+def proposals(texts: DataFrame, marks: DataFrame) -> DataFrame:
+    """(doc_id, tag, start, stop, digest) of passages that may be repeated: spans of paths in marks(doc_id, tag, marks array of (at, start, stop)) with 50 words or more, and windows whose k-mer is in marks and that stick out of its path."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            marked = batch.column(2)
+            ids, tags = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            marked = batch.column(3)
             for w in split(batch, "text"):
                 h = w.hashes()
-                k, least, at, doc = minimizers(w, h)
-                p = np.flatnonzero(least)
-                if not len(p):
-                    continue
-                # the leftmost chosen k-mer of the window that has its least hash
-                i = np.searchsorted(at, p)
-                while len(bad := np.flatnonzero(k[at[i]] != least[p])):
-                    i[bad] += 1
+                k, least, at, _ = minimizers(w, h)
                 mine = marked.slice(w.first, w.n_docs)
                 v = mine.flatten()
                 sizes = np.array([len(x) for x in mine], np.int64) if mine.null_count else np.diff(mine.offsets.to_numpy())
-                owner = np.repeat(np.arange(w.n_docs), sizes)
-                place = v.field(0).to_numpy() + w.bounds[owner]
+                base = w.bounds[np.repeat(np.arange(w.n_docs), sizes)]
+                place, start, stop = (v.field(i).to_numpy() + base for i in range(3))
                 order = np.argsort(place, kind="stable")
-                place, start, stop = place[order], (v.field(1).to_numpy() + w.bounds[owner])[order], (v.field(2).to_numpy() + w.bounds[owner])[order]
-                if not len(place):
-                    continue
-                j = np.minimum(np.searchsorted(place, at[i]), len(place) - 1)
-                out = (place[j] == at[i]) & ((p < start[j]) | (p + WINDOW > stop[j]))
-                p = p[out]
-                d = np.searchsorted(w.bounds, p, "right") - 1
-                yield pa.RecordBatch.from_arrays([pa.array(ids[w.first + d]), pa.array((p - w.bounds[d]).astype(np.int32)), pa.array(windows(h, WINDOW)[p].view(np.int64))], names=["doc_id", "start", "h"])
-
-    return docs.join(marks, "doc_id").select("doc_id", "text", "marks").mapInArrow(run, "doc_id bigint, start int, h bigint")
+                place, start, stop = place[order], start[order], stop[order]
+                long = stop - start >= WINDOW
+                found = [np.unique(np.stack([start[long], stop[long]]), axis=1)]
+                p = np.flatnonzero(least)
+                if len(p) and len(place):
+                    # the leftmost chosen k-mer of the window that has its least hash
+                    i = np.searchsorted(at, p)
+                    while len(bad := np.flatnonzero(k[at[i]] != least[p])):
+                        i[bad] += 1
+                    j = np.minimum(np.searchsorted(place, at[i]), len(place) - 1)
+                    out = p[(place[j] == at[i]) & ((p < start[j]) | (p + WINDOW > stop[j]))]
+                    found.append(np.stack([out, out + WINDOW]))
+                begin, end = np.concatenate(found, axis=1)
+                doc = np.searchsorted(w.bounds, begin, "right") - 1
+                order = np.argsort(doc, kind="stable")
+                begin, end, doc = begin[order], end[order], doc[order]
+                cuts = np.searchsorted(doc, np.arange(w.n_docs + 1))
+                digests: list[bytes] = []
+                for d in np.unique(doc):
+                    own = slice(cuts[d], cuts[d + 1])
+                    digests += _digests(w.data[w.offsets[d] : w.offsets[d + 1]].tobytes(), begin[own] - w.bounds[d], end[own] - w.bounds[d])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids[w.first + doc]), pa.array(tags[w.first + doc]), pa.array((begin - w.bounds[doc]).astype(np.int32)), pa.array((end - w.bounds[doc]).astype(np.int32)), pa.array(digests, pa.binary())],
+                    names=["doc_id", "tag", "start", "stop", "digest"],
+                )
+
+    return texts.join(marks, ["doc_id", "tag"]).select("doc_id", "tag", "text", "marks").mapInArrow(run, "doc_id bigint, tag bigint, start int, stop int, digest binary")
 
 
 def removed_spans(docs: DataFrame, surveyed: DataFrame) -> DataFrame:
-    """(doc_id, start, stop) of words that go, possibly overlapping, for documents whose word sequence is the first of its kind."""
-    occ = surveyed.select("doc_id", F.explode(F.arrays_zip("at", "kmer", "nxt", "gap")).alias("o")).select("doc_id", "o.*")
+    """(doc_id, tag, start, stop) of words that go, possibly overlapping, for documents whose word sequence is the first of its kind."""
+    occ = surveyed.select("doc_id", "tag", F.explode(F.arrays_zip("at", "kmer", "nxt", "gap")).alias("o")).select("doc_id", "tag", "o.*")
     shared = cut(occ.groupBy("kmer").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a <> b").select("kmer"))
-    few = shared.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    here = cut(occ.join(F.broadcast(shared) if few else shared, "kmer"))
+    here = cut(occ.join(if_small(shared), "kmer"))
     path = cut(paths(here))
-    placed = here.select("doc_id", "at", "kmer").join(F.broadcast(path) if few else path, "kmer").withColumn("start", (F.col("at") - F.col("off")).cast("int")).withColumn("stop", (F.col("start") + F.col("reach") + KMER).cast("int"))
-    placed = cut(placed.select("doc_id", "at", "start", "stop", (F.col("first_doc") < F.col("doc_id")).alias("later")))
-    sure = placed.where(F.col("later") & (F.col("stop") - F.col("start") >= WINDOW)).select("doc_id", "start", "stop").distinct()
-    marks = placed.groupBy("doc_id").agg(F.collect_list(F.struct("at", "start", "stop")).alias("marks"))
-    texts = _narrow(docs, cut(placed.select("doc_id").distinct()))
-    wins = cut(open_windows(texts.dropDuplicates(["doc_id"]), marks))
-    # written, so that the join below is one of two exchanges, whose hot keys Spark can split
-    first = cut(wins.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first <> last"))
-    again = wins.join(first, "h").where("doc_id > first").select("doc_id", "start", (F.col("start") + WINDOW).alias("stop"))
-    return sure.unionByName(again)
+    placed = lookup(here.select("doc_id", "tag", "at", "kmer"), path, ["kmer"], ["doc_id", "at"]).withColumn("start", (F.col("at") - F.col("off")).cast("int")).withColumn("stop", (F.col("start") + F.col("reach") + KMER).cast("int"))
+    marks = cut(placed.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("at", "start", "stop")).alias("marks")))
+    texts = _narrow(docs, marks.select("doc_id", "tag"))
+    found = cut(proposals(texts, marks))
+    first = cut(found.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first <> last").select("digest", "first"))
+    return lookup(found, first, ["digest"], ["doc_id", "start"]).where("doc_id > first").select("doc_id", "tag", "start", "stop")
 
 
 def _cover(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int]:
@@ -182,22 +200,26 @@ def _cover(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int]:
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256, kept_text) for each row of docs; kept_text is null for documents that lose nothing."""
     surveyed = cut(survey(docs))
-    named = surveyed.where("doc_id IS NOT NULL")
-    first = named.groupBy("name").agg(F.min("doc_id").alias("first"))
-    reps = named.join(first, "name").where("doc_id = first").dropDuplicates(["doc_id"])
-    spans = removed_spans(docs, cut(reps.select("doc_id", "at", "kmer", "nxt", "gap")))
-    by_doc = cut(spans.groupBy("doc_id").agg(F.collect_set(F.struct("start", "stop")).alias("spans")))
+    key = F.struct("doc_id", "tag")
+    named = surveyed.where("doc_id IS NOT NULL").groupBy("name").agg(F.min(key).alias("f"), F.max(key).alias("l")).where("f <> l").select("name", F.col("f.doc_id").alias("first"), F.col("f.tag").alias("first_tag"))
+    # rows of word sequences that no other text has are their own first
+    joined = lookup(surveyed, cut(named), ["name"], ["doc_id", "tag"], "left")
+    every = joined.withColumn("first", F.coalesce("first", "doc_id")).withColumn("first_tag", F.coalesce("first_tag", "tag"))
+    reps = every.where("doc_id = first AND tag = first_tag").select("doc_id", "tag", "at", "kmer", "nxt", "gap").dropDuplicates(["doc_id", "tag"])
+    spans = removed_spans(docs, cut(reps))
+    by_doc = cut(spans.groupBy("doc_id", "tag").agg(F.collect_set(F.struct("start", "stop")).alias("spans")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [_cover((t or "").encode(), [(s["start"], s["stop"]) for s in m]) for t, m in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for _, n in out], pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for t, _ in out], pa.string()), pa.array([t.decode("utf-8", "replace") for t, _ in out], pa.string())], names=["d", "gone", "kept", "kept_text"])
-
-    touched = _narrow(docs, by_doc.select("doc_id")).dropDuplicates(["doc_id"]).join(by_doc, "doc_id").select("doc_id", "text", "spans").mapInArrow(run, "d bigint, gone bigint, kept string, kept_text string")
-    every = surveyed.select("doc_id", "n_words", "name", "sha").join(first.withColumnRenamed("name", "nm"), F.col("name") == F.col("nm"), "left")
-    whole = (F.col("first") < F.col("doc_id")) & (F.col("n_words") >= WINDOW)
-    own = F.col("first") == F.col("doc_id")
-    joined = every.join(touched, (every["doc_id"] == touched["d"]) & own, "left")
+            out = [_cover((t or "").encode(), [(s["start"], s["stop"]) for s in m]) for t, m in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([n for _, n in out], pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for t, _ in out], pa.string()), pa.array([t.decode("utf-8", "replace") for t, _ in out], pa.string())], names=["first", "first_tag", "gone", "kept", "kept_text"])
+
+    touched = _narrow(docs, by_doc.select("doc_id", "tag")).join(by_doc, ["doc_id", "tag"]).select("doc_id", "tag", "text", "spans").mapInArrow(run, "first bigint, first_tag bigint, gone bigint, kept string, kept_text string")
+    rows = every.select("doc_id", "tag", "n_words", "sha", "first", "first_tag")
+    # only rows that are a first text, or equal one with its id, meet the cut texts
+    own = rows.where("first = doc_id").join(touched, ["first", "first_tag"], "left")
+    met = own.unionByName(rows.where("first <> doc_id OR doc_id IS NULL"), allowMissingColumns=True)
+    whole = F.coalesce((F.col("first") < F.col("doc_id")) & (F.col("n_words") >= WINDOW), F.lit(False))
     none = hashlib.sha256(b"").hexdigest()
-    pick = lambda all_gone, some, else_: F.when(F.coalesce(whole, F.lit(False)), all_gone).otherwise(F.coalesce(some, else_))
-    return joined.select("doc_id", "n_words", pick(F.col("n_words"), F.col("gone"), F.lit(0).cast("bigint")).alias("n_removed"), pick(F.lit(none), F.col("kept"), F.col("sha")).alias("kept_sha256"), pick(F.lit(""), F.col("kept_text"), F.lit(None)).alias("kept_text"))
+    pick = lambda all_gone, some, else_: F.when(whole, all_gone).otherwise(F.coalesce(some, else_))
+    return met.select("doc_id", "n_words", pick(F.col("n_words"), F.col("gone"), F.lit(0).cast("bigint")).alias("n_removed"), pick(F.lit(none), F.col("kept"), F.col("sha")).alias("kept_sha256"), pick(F.lit(""), F.col("kept_text"), F.lit(None)).alias("kept_text"))

@@ -62,3 +62,25 @@ def test_rows_and_empty(spark):
     got = remove_repeats(df)
     assert sorted((r.doc_id, r.n_removed, r.kept_text) for r in got.where("doc_id = 2").collect()) == [(2, 60, "")] * 2
     assert got.count() == 3 and remove_repeats(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("turn", [1, -1])
+def test_one_id_with_several_texts(spark, turn):
+    """Each text is a document of its id, whatever the order of the rows."""
+    rng = random.Random(3)
+    part = [" ".join(f"p{k}w{rng.randrange(10**6)}" for _ in range(80)) for k in range(6)]
+    docs = [(5, part[0]), (5, part[1] + " x " + part[2]), (5, "short text"), (7, part[2] + " y " + part[0]), (7, part[1]), (7, part[3]), (8, part[3].replace(" ", "  ")), (8, part[3]), (9, f"a {part[4]}"), (9, f"b {part[4]}")][::turn]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    assert rows(remove_repeats(df)) == brute(docs)
+    assert remove_repeats(df).count() == len(docs)
+
+
+def test_words_decide(spark):
+    """Passages that the graph takes for one path are told apart by their words."""
+    from meshloom.llm.substrings import proposals
+
+    words = [[f"{k}w{i}" for i in range(60)] for k in range(2)]
+    texts = spark.createDataFrame([(1, 0, " ".join(words[0])), (2, 0, " ".join(words[1])), (3, 0, "\n".join(words[0]))], "doc_id long, tag long, text string")
+    marks = spark.createDataFrame([(i, 0, [(0, 0, 60)]) for i in (1, 2, 3)], "doc_id long, tag long, marks array<struct<at: int, start: int, stop: int>>")
+    got = {r.doc_id: bytes(r.digest) for r in proposals(texts, marks).where("start = 0 AND stop = 60").collect()}
+    assert got[1] == got[3] != got[2]
