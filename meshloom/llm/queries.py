@@ -75,24 +75,27 @@ def op7_superminhash(spark, sf_dir):
     return groups(read(spark, sf_dir, "documents"))
 
 
-def _lines_sql() -> str:
+def _lines_sql(docs: str = "documents") -> str:
     h = "CAST(('0x' || substr(md5(line), 1, 7)) AS BIGINT)"
-    return f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents WHERE text <> ''),
-    b AS (SELECT *, CASE WHEN ({h} + 3 * coalesce(lag({h}) OVER w, 0)) % 3 = 0 THEN 1 ELSE 0 END AS stop FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+    return f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i, len(string_split(text, chr(10))) - 1 AS last FROM {docs} WHERE text <> ''),
+    h AS (SELECT *, ({h} + 31 * coalesce(lag({h}) OVER w, 0) + 961 * coalesce(lag({h}, 2) OVER w, 0)) % 2147483647 AS r FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+    b AS (SELECT *, CASE WHEN i = last OR i > 0 AND i < last - 1 AND r < lag(r) OVER w AND r <= lead(r) OVER w THEN 1 ELSE 0 END AS stop FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
     c AS (SELECT *, coalesce(sum(stop) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM b),
     k AS (SELECT doc_id, pos, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS body FROM c GROUP BY ALL),
-    m AS (SELECT *, n >= 2 AND length(trim(body, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) > 0 AND row_number() OVER (PARTITION BY body ORDER BY doc_id, pos) > 1 AS gone FROM k)
-    SELECT doc_id, coalesce(n, 0) AS n_lines, coalesce(r, 0) AS n_removed_lines, sha256(coalesce(t, '')) AS kept_sha256 FROM (SELECT doc_id FROM documents) LEFT JOIN
+    m AS (SELECT *, n >= 2 AND length(trim(body, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) > 0 AND row_number() OVER (PARTITION BY body ORDER BY doc_id, pos) > 1 AS gone FROM k)"""
+
+
+def _lines_report_sql() -> str:
+    return f"""{_lines_sql()} SELECT doc_id, coalesce(n, 0) AS n_lines, coalesce(r, 0) AS n_removed_lines, sha256(coalesce(t, '')) AS kept_sha256 FROM (SELECT doc_id FROM documents) LEFT JOIN
     (SELECT doc_id, CAST(sum(n) AS BIGINT) AS n, CAST(sum(CASE WHEN gone THEN n ELSE 0 END) AS BIGINT) AS r, string_agg(body, chr(10) ORDER BY pos) FILTER (NOT gone) AS t FROM m GROUP BY doc_id) USING (doc_id)"""
 
 
-@query(_lines_sql())
+@query(_lines_report_sql())
 def op8_line_chunks(spark, sf_dir):
     """Lines cut from each document, and a digest of what stays (null: of the empty text)."""
     from meshloom.llm.lines import dedup_report
 
-    # the rule that the SQL states
-    got = dedup_report(read(spark, sf_dir, "documents"), least=1)
+    got = dedup_report(read(spark, sf_dir, "documents"))
     return got.select("doc_id", "n_lines", "n_removed_lines", F.sha2(F.coalesce("kept_text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
