@@ -10,11 +10,13 @@ with 5e-9. Within a bucket no pairs are listed: each class meets the smallest of
 components. Only then do classes of different components that share a bucket meet, as they may be linked through other members: in blocks, by their signatures first,
 and those near the threshold then ask the other component's full sets, again in blocks.
 **Verification.** Pairs whose sizes rule out the threshold, or whose signatures agree in less than half of the slots (nine standard deviations below 0.75), go; for the
-rest the full sets are intersected. **Grouping.** Partitions first reduce links to forests by union-find; rounds of contraction to the smallest neighbour join the forests.
+rest the full sets are intersected. **Grouping.** Partitions first reduce links to forests by union-find. While more than `ONE_TASK` links are left, each node hooks on to its smallest
+neighbour, the trees of hooks are flattened by pointer doubling and links are redrawn between their roots, of which there are at most half as many as nodes; the rest is one task's union-find.
 
 Edge cases: null and blank texts have the empty set and are linked with nothing; texts of fewer than five words have their whole sequence as one
-shingle; rows that repeat a document get its result each; if one id comes with different texts, links are found for one of them; rows of null id are linked with
-nothing and kept, with a null component. Shingles are held as 64-bit hashes.
+shingle; rows that repeat a document get its result each; if one id comes with several texts, each is a document of its own with that id; rows of null id are linked with
+nothing and kept, with a null component; of documents with equal sets (ties) the smallest id names the group; an empty table gives an empty result; extra columns are
+not read, whatever their names. A very long text is handled whole, in one task, with some 100 bytes of arrays a word. Shingles are held as 64-bit hashes.
 """
 
 from collections.abc import Iterator
@@ -25,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meshloom.llm.arrow_text import BASE, U, Words, mix, split, window_starts, windows
+from meshloom.llm.joins import if_small, lookup
+from meshloom.llm.text import fresh
 from meshloom.plans.lineage import cut
 
 SHINGLE, SLOTS, ROWS = 5, 240, 5
@@ -36,8 +40,8 @@ SALTS = 16
 BLOCK = 1024
 #: slots that must agree for two classes of a bucket to be compared in full (five standard deviations below 0.75)
 LIKELY = 146
-#: ids (8 bytes each) up to which they are broadcast
-BROADCAST_ROWS = 500_000
+#: links (16 bytes each) up to which one task joins them
+ONE_TASK = 200_000
 
 
 def shingles(w: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -108,11 +112,11 @@ def superminhash(h: np.ndarray, doc: np.ndarray, n_docs: int, slots: int = SLOTS
 
 
 def sign(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, set_id, sig): size of the set, 128 bits that name it, one byte of each slot."""
+    """(doc_id, tag, n, set_id, sig): a tag that tells texts of one id apart, size of the set, 128 bits that name it, one byte of each slot."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0)
+            ids, tags = batch.column(0), batch.column(1)
             for w in split(batch, "text", lower=True, chunk=CHUNK):
                 h, doc = distinct(*shingles(w), w.n_docs)
                 n = np.bincount(doc, minlength=w.n_docs)
@@ -123,22 +127,25 @@ def sign(docs: DataFrame) -> DataFrame:
                 np.add.at(name[:, 1], doc, mix(h ^ BASE))
                 sigs = pa.FixedSizeBinaryArray.from_buffers(pa.binary(SLOTS), w.n_docs, [None, pa.py_buffer(sig.tobytes())]).cast(pa.binary())
                 names = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), w.n_docs, [None, pa.py_buffer(name.tobytes())]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([ids.slice(w.first, w.n_docs), pa.array(n), names, sigs], names=["doc_id", "n", "set_id", "sig"])
+                yield pa.RecordBatch.from_arrays([ids.slice(w.first, w.n_docs), tags.slice(w.first, w.n_docs), pa.array(n), names, sigs], names=["doc_id", "tag", "n", "set_id", "sig"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n bigint, set_id binary, sig binary")
+    return docs.select("doc_id", F.xxhash64("text").alias("tag"), "text").mapInArrow(run, "doc_id bigint, tag bigint, n bigint, set_id binary, sig binary")
 
 
-def sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, s): the distinct shingles of each document."""
+def sets(docs: DataFrame, classes: DataFrame, reps: DataFrame) -> DataFrame:
+    """(id, s): the distinct shingles of each class that reps(id) names, from the text of its first document."""
+    wanted = cut(classes.select(F.col("rep").alias("id"), "doc_id", "tag").join(if_small(reps), "id", "left_semi"))
+    own = docs.select("doc_id", F.xxhash64("text").alias("tag"), "text").join(if_small(wanted), ["doc_id", "tag"]).select("id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for w in split(batch, "text", lower=True, chunk=CHUNK):
                 h, doc = distinct(*shingles(w), w.n_docs)
                 off = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=w.n_docs))]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(w.first, w.n_docs), pa.ListArray.from_arrays(pa.array(off), pa.array(h.view(np.int64)))], names=["doc_id", "s"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(w.first, w.n_docs), pa.ListArray.from_arrays(pa.array(off), pa.array(h.view(np.int64)))], names=["id", "s"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, s array<bigint>")
+    # rows may repeat a document
+    return cut(own.mapInArrow(run, "id bigint, s array<bigint>").dropDuplicates(["id"]))
 
 
 def bands(classes: DataFrame) -> DataFrame:
@@ -156,7 +163,7 @@ def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """Of distinct pairs (a, b) those with 100 |A and B| >= 75 |A or B|."""
     x = classes.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa"))
     y = classes.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb"))
-    likely = pairs.join(x, "a").join(y, "b").where(_can("na", "nb")).select("a", "b", "sa", "sb")
+    likely = lookup(lookup(pairs, x, ["a"], ["b"]), y, ["b"], ["a"]).where(_can("na", "nb")).select("a", "b", "sa", "sb")
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -165,13 +172,9 @@ def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
                 yield batch.filter(pa.array((s[0] == s[1]).sum(axis=1) * 2 >= SLOTS)).select(["a", "b"])
 
     likely = cut(likely.mapInArrow(alike, "a bigint, b bigint"))
-    ids = likely.select(F.explode(F.array("a", "b")).alias("i")).distinct()
-    few = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    own = docs.join(F.broadcast(ids) if few else ids, docs["doc_id"] == ids["i"], "left_semi")
-    full = cut(sets(own).dropDuplicates(["doc_id"]) if not few else sets(own))
-    a = full.select(F.col("doc_id").alias("a"), F.col("s").alias("x"))
-    b = full.select(F.col("doc_id").alias("b"), F.col("s").alias("y"))
-    both = likely.join(a, "a").join(b, "b").select("a", "b", F.size(F.array_intersect("x", "y")).alias("i"), (F.size("x") + F.size("y")).alias("t"))
+    full = sets(docs, classes, cut(likely.select(F.explode(F.array("a", "b")).alias("id")).distinct()))
+    x, y = full.select(F.col("id").alias("a"), F.col("s").alias("x")), full.select(F.col("id").alias("b"), F.col("s").alias("y"))
+    both = lookup(lookup(likely, x, ["a"], ["b"]), y, ["b"], ["a"]).select("a", "b", F.size(F.array_intersect("x", "y")).alias("i"), (F.size("x") + F.size("y")).alias("t"))
     # union = total - intersection
     return both.where(100 * F.col("i") >= 75 * (F.col("t") - F.col("i"))).select("a", "b").distinct()
 
@@ -201,27 +204,35 @@ def forest(links: DataFrame) -> DataFrame:
     return links.select("a", "b").mapInArrow(run, "a bigint, b bigint")
 
 
+def _flat(step: DataFrame) -> DataFrame:
+    """(node, to) with `to` led on to the root of its tree, where a root leads to itself."""
+    while True:
+        onward = step.select(F.col("node").alias("to"), F.col("to").alias("to2"))
+        step = cut(lookup(step.select("node", "to"), onward, ["to"], ["node"]).select("node", F.col("to2").alias("to"), (F.col("to") != F.col("to2")).alias("moved")))
+        if not step.where("moved").limit(1).count():
+            return step.select("node", "to")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component): the smallest id that each end of links (a, b) reaches.
 
-    Each round maps a node to the smallest of itself and its neighbours and redraws the links between those; a component of n
-    nodes takes O(log n) rounds in practice, and links get fewer in each.
+    A round of hooking and flattening leaves the nodes that are smaller than all of their neighbours, at most half of them, so n nodes take log2(n) rounds at most, and
+    a chain in the order of its ids takes one.
     """
     links = cut(forest(links))
     maps: list[DataFrame] = []
-    while links.limit(1).count():
+    while links.count() > ONE_TASK:
         both = links.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.*")
-        step = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("to")))
+        step = _flat(cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("to"))))
         maps.append(step)
         sa, sb = step.select(F.col("node").alias("a"), F.col("to").alias("ta")), step.select(F.col("node").alias("b"), F.col("to").alias("tb"))
-        links = cut(forest(links.join(sa, "a").join(sb, "b").select(F.col("ta").alias("a"), F.col("tb").alias("b")).where("a <> b").distinct()))
-    if not maps:
-        return links.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    out = maps[-1].withColumnRenamed("to", "component")
-    for m in reversed(maps[:-1]):
+        ends = lookup(lookup(links, sa, ["a"], ["b"]), sb, ["b"], ["a"])
+        links = cut(forest(ends.select(F.col("ta").alias("a"), F.col("tb").alias("b")).where("a <> b").distinct()))
+    out = cut(forest(links.coalesce(1)).select(F.col("a").alias("node"), F.col("b").alias("component")))
+    for m in reversed(maps):
         after = out.select(F.col("node").alias("to"), "component")
-        out = m.join(after, "to", "left").select("node", F.coalesce("component", F.col("to")).alias("component"))
-    return cut(out)
+        out = cut(lookup(m, after, ["to"], ["node"], "left").select("node", F.coalesce("component", F.col("to")).alias("component")))
+    return out
 
 
 def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
@@ -258,7 +269,7 @@ def strangers(at: DataFrame, classes: DataFrame) -> DataFrame:
     blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("bigint")
     main = sizes.groupBy("key").agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.count("*").alias("parts"), F.sum("k").alias("all"), F.max("k").alias("most")).where("parts > 1")
     main = main.select("key", "main", blocks(F.col("all")).alias("nq"), blocks(F.col("all") - F.col("most")).alias("np"))
-    rows = cut(at.join(main, "key").join(classes.select("rep", "sig"), "rep"))
+    rows = cut(lookup(lookup(at, main, ["key"], ["rep"]), classes.select("rep", "sig"), ["rep"], ["key"]))
     left = _blocks(rows.where("c <> main"), "rep", "np", "bp", "bq", "nq").withColumn("side", F.lit(0))
     right = _blocks(rows, "rep", "nq", "bq", "bp", "np").withColumn("side", F.lit(1))
     both = left.unionByName(right).select("key", "bp", "bq", "side", "rep", "c", "n", "sig").repartition("key", "bp", "bq").sortWithinPartitions("key", "bp", "bq")
@@ -281,20 +292,18 @@ def strangers(at: DataFrame, classes: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "p bigint, c bigint").distinct()
 
 
-def cross_links(suspects: DataFrame, members: DataFrame, docs: DataFrame) -> DataFrame:
+def cross_links(suspects: DataFrame, members: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """(a, b): for suspects (p, c) links of p to members (rep, c) of the component, one a block of members at most; full sets are looked up in the block's inverted index."""
     blocks = lambda n, size: F.ceil(n / F.lit(size)).cast("bigint")
-    asked = suspects.groupBy("c").agg(blocks(F.count("*"), BLOCK).alias("np"))
-    need = members.join(asked, "c")
-    size = need.groupBy("c").agg(blocks(F.count("*"), BLOCK // 4).alias("nq"))
-    need = cut(need.join(size, "c"))
-    left = cut(suspects.join(asked, "c").join(size, "c"))
-    ids = cut(need.select(F.col("rep").alias("i")).union(left.select("p")).distinct())
-    few = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    full = cut(sets(docs.join(F.broadcast(ids) if few else ids, docs["doc_id"] == ids["i"], "left_semi")).dropDuplicates(["doc_id"]))
+    asked = cut(suspects.groupBy("c").agg(blocks(F.count("*"), BLOCK).alias("np")))
+    need = cut(lookup(members, asked, ["c"], ["rep"]))
+    size = cut(need.groupBy("c").agg(blocks(F.count("*"), BLOCK // 4).alias("nq")))
+    need = cut(lookup(need, size, ["c"], ["rep"]))
+    left = cut(lookup(lookup(suspects, asked, ["c"], ["p"]), size, ["c"], ["p"]))
+    full = sets(docs, classes, cut(need.select(F.col("rep").alias("id")).union(left.select("p")).distinct()))
     q = _blocks(need, "rep", "nq", "bq", "bp", "np").select("c", "bp", "bq", F.lit(1).alias("side"), F.col("rep").alias("id"))
     p = _blocks(left, "p", "np", "bp", "bq", "nq").select("c", "bp", "bq", F.lit(0).alias("side"), F.col("p").alias("id"))
-    both = q.unionByName(p).join(full, F.col("id") == full["doc_id"]).select("c", "bp", "bq", "side", "id", "s").repartition("c", "bp", "bq").sortWithinPartitions("c", "bp", "bq")
+    both = lookup(q.unionByName(p), full, ["id"], ["c", "bp", "bq"]).select("c", "bp", "bq", "side", "id", "s").repartition("c", "bp", "bq").sortWithinPartitions("c", "bp", "bq")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _runs(batches, 3):
@@ -325,41 +334,66 @@ def cross_links(suspects: DataFrame, members: DataFrame, docs: DataFrame) -> Dat
     return both.mapInArrow(run, "a bigint, b bigint")
 
 
-def groups(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for each row of docs."""
+def _grouped(docs: DataFrame) -> DataFrame:
+    """(doc_id, tag, n, set_id, c, least) for each row of docs: the number of its group and the group's smallest document, both null for rows that are alone."""
     own = docs.select("doc_id", "text")
     signed = cut(sign(own))
     some = signed.where("n > 0 AND doc_id IS NOT NULL")
-    by_set = some.groupBy("set_id").agg(F.min(F.struct("doc_id", "n", "sig")).alias("c")).select("set_id", F.col("c.doc_id").alias("rep"), F.col("c.n").alias("n"), F.col("c.sig").alias("sig"))
-    by_set = cut(by_set)
-    classes = cut(by_set.dropDuplicates(["rep"]).select("rep", "n", "sig"))
+    by_set = some.groupBy("set_id").agg(F.min(F.struct("doc_id", "tag", "n", "sig")).alias("c"), F.count("*").alias("rows")).select("set_id", "c.*", "rows")
+    # a number for each class, from its place in storage, which lost executors do not change
+    classes = cut(cut(by_set).withColumn("rep", F.monotonically_increasing_id()))
 
     rows = bands(classes)
     salted = rows.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)))
     part = salted.groupBy("key", "salt").agg(F.min("rep").alias("part_min"), F.count("*").alias("m"))
-    whole = part.groupBy("key").agg(F.min("part_min").alias("all_min"), F.sum("m").alias("m")).where("m > 1")
-    shared = cut(salted.join(whole, "key"))
-    near = shared.groupBy("key", "salt").agg(F.min("rep").alias("part_min"))
-    star = shared.join(near, ["key", "salt"]).select("rep", F.explode(F.array_distinct(F.array("all_min", "part_min"))).alias("to")).where("rep <> to")
+    whole = cut(part.groupBy("key").agg(F.min("part_min").alias("all_min"), F.sum("m").alias("m")).where("m > 1"))
+    shared = cut(lookup(salted, whole, ["key"], ["rep"]))
+    near = cut(shared.groupBy("key", "salt").agg(F.min("rep").alias("part_min")))
+    star = lookup(shared, near, ["key", "salt"], ["rep"]).select("rep", F.explode(F.array_distinct(F.array("all_min", "part_min"))).alias("to")).where("rep <> to")
     pairs = cut(star.select(F.greatest("rep", "to").alias("a"), F.least("rep", "to").alias("b")).distinct())
     links = cut(verify(pairs, classes, own))
     comp = components(links)
 
     # classes of different components that share a bucket of three or more; in one of two they have met
-    at = shared.where("m > 2").select("key", "rep", "n").join(comp, shared["rep"] == comp["node"], "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("c"))
+    of = lambda c: c.select(F.col("node").alias("rep"), "component")
+    at = lookup(shared.where("m > 2").select("key", "rep", "n"), of(comp), ["rep"], ["key"], "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("c"))
     suspects = cut(strangers(at, classes))
     if suspects.limit(1).count():
-        whole_comp = classes.join(comp, classes["rep"] == comp["node"], "left").select("rep", F.coalesce("component", "rep").alias("c"))
-        extra = cut(cross_links(suspects, whole_comp, own))
+        members = lookup(classes.select("rep"), of(comp), ["rep"], ["rep"], "left").select("rep", F.coalesce("component", "rep").alias("c"))
+        extra = cut(cross_links(suspects, members, classes, own))
         if extra.limit(1).count():
             comp = components(links.unionByName(extra))
 
-    labelled = by_set.join(comp, by_set["rep"] == comp["node"], "left").select(F.col("set_id").alias("set"), F.coalesce("component", "rep").alias("component_id"))
-    out = signed.join(labelled, (signed["set_id"] == labelled["set"]) & (signed["n"] > 0), "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component_id", "doc_id")).alias("component_id"))
+    named = lookup(classes.select("rep", "set_id", "doc_id", "rows"), of(comp), ["rep"], ["rep"], "left").select("set_id", "doc_id", "rows", F.coalesce("component", "rep").alias("c"))
+    named = cut(named)
+    linked = cut(named.groupBy("c").agg(F.min("doc_id").alias("least"), F.count("*").alias("k")).where("k > 1").select("c", "least"))
+    # only sets that several rows or classes share say more than the row itself
+    labels = lookup(named, linked, ["c"], ["set_id"], "left").where("rows > 1 OR least IS NOT NULL").select("set_id", "c", F.coalesce("least", "doc_id").alias("least"))
+    return lookup(signed.select("doc_id", "tag", "n", "set_id"), cut(labels), ["set_id"], ["doc_id", "tag"], "left")
+
+
+def groups(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for each row of docs."""
+    own = F.when(F.col("doc_id").isNull() | (F.col("n") == 0), F.col("doc_id")).otherwise(F.coalesce("least", "doc_id"))
+    out = _grouped(docs).select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of docs that are the smallest of their group, with their columns."""
-    gone = groups(docs).where("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    """One row of each group, with its columns: of the smallest id; of its texts the one of least hash, and of equal rows any. Rows of null id or without words all stay."""
+    rows = cut(_grouped(docs).where("c IS NOT NULL AND n > 0 AND doc_id IS NOT NULL").groupBy("c", "doc_id", "tag").agg(F.count("*").alias("k")))
+    first = cut(rows.groupBy("c").agg(F.min(F.struct("doc_id", "tag", "k")).alias("f")).select("f.*"))
+    gone = rows.select("doc_id", "tag").join(if_small(first.select("doc_id", "tag")), ["doc_id", "tag"], "left_anti")
+    again = first.where("k > 1").select("doc_id", "tag")
+    tag = fresh(docs, "text_tag")
+    tagged = docs.withColumn(tag, F.xxhash64("text"))
+
+    def among(keys: DataFrame, how: str) -> DataFrame:
+        keys = keys.select(F.col("doc_id").alias("_d"), F.col("tag").alias("_t"))
+        return tagged.join(if_small(keys), (tagged["doc_id"] == keys["_d"]) & (tagged[tag] == keys["_t"]), how)
+
+    if not again.limit(1).count():
+        return among(cut(gone), "left_anti").select(*docs.columns)
+    repeated = among(again, "left_semi").groupBy("doc_id", tag).agg(F.first(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("_row"))
+    one = repeated.select(*[F.col("_row")[c].alias(c) for c in docs.columns])
+    return among(cut(gone.unionByName(again)), "left_anti").select(*docs.columns).unionByName(one)

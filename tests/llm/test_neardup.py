@@ -81,11 +81,52 @@ def test_nulls_repeats_and_empty(spark):
     assert groups(df.limit(0)).count() == 0
 
 
-def test_components_of_a_long_path(spark):
+@pytest.mark.parametrize("one_task", [0, 200_000])
+@pytest.mark.parametrize("order", ["shuffled", "sorted"])
+def test_components_of_a_long_path(spark, monkeypatch, one_task, order):
+    monkeypatch.setattr(neardup, "ONE_TASK", one_task)
     n = 300
     ids = random.Random(0).sample(range(1000), n)
-    links = spark.createDataFrame(list(zip(ids, ids[1:], strict=False)), "a long, b long").repartition(7)
-    assert {tuple(r) for r in components(links).select("node", "component").collect()} >= {(i, min(ids)) for i in ids if i != min(ids)}
+    if order == "sorted":
+        ids.sort()
+    links = spark.createDataFrame(list(zip(ids, ids[1:], strict=False)) + [(2000, 2001)], "a long, b long").repartition(40)
+    got = {tuple(r) for r in components(links).select("node", "component").collect()}
+    assert {x for x in got if x[0] != x[1]} == {(i, min(ids)) for i in ids if i != min(ids)} | {(2001, 2000)}
+
+
+def test_a_chain_in_order_takes_few_rounds(spark, monkeypatch):
+    """1,000 nodes over 100 partitions."""
+    monkeypatch.setattr(neardup, "ONE_TASK", 0)
+    rounds = []
+    flat = neardup._flat
+    monkeypatch.setattr(neardup, "_flat", lambda step: rounds.append(1) or flat(step))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    got = components(spark.range(1000).selectExpr("id AS a", "id + 1 AS b").repartition(100)).where("node <> component").agg(F.count("*"), F.max("component")).head()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert tuple(got) == (1000, 0) and len(rounds) <= 3
+
+
+def test_one_id_with_several_texts(spark):
+    """Each text is a document of its id: no link is lost, and one row of each group stays."""
+    a, b, c = ("one two three four five six seven", "a b c d e f g h i j k l m n o p q r s t u v w x y z", "p q r s t u v")
+    docs = [(3, a), (5, a), (5, b), (7, b + " zz"), (7, c), (8, c), (8, c), (9, "x y"), (9, "x y"), (9, "q q"), (10, None), (10, None)]
+    for rows_ in (docs, docs[::-1]):
+        df = spark.createDataFrame(rows_, "doc_id long, text string").selectExpr("*", "'k' AS text_tag", "1 AS k").repartition(3)
+        got = sorted((r.doc_id, r.component_id) for r in groups(df).collect())
+        assert got == [(3, 3), (5, 3), (5, 5), (7, 5), (7, 7), (8, 7), (8, 7), (9, 9), (9, 9), (9, 9), (10, 10), (10, 10)]
+        kept = neardup.keep_first(df)
+        assert kept.columns == df.columns and sorted((r.doc_id, r.text or "") for r in kept.collect()) == sorted([(3, a), (5, b), (7, c), (9, "q q"), (9, "x y"), (10, ""), (10, "")])
+
+
+def test_hot_keys_without_broadcasts(spark, monkeypatch):
+    """Joins by shuffle, with hot keys dealt over tasks, find the same groups."""
+    from meshloom.llm import joins
+
+    monkeypatch.setattr(joins, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(joins, "HOT_ROWS", 5)
+    monkeypatch.setattr(neardup, "ONE_TASK", 0)
+    docs = chains(3, 80) + [(500 + i, "the same text of seven words here") for i in range(40)] + [(600 + i, " ".join(f"n{j}" for j in range(60)) + f" tail{i}") for i in range(40)]
+    assert rows(groups(spark.createDataFrame(docs, "doc_id long, text string"))) == brute(docs)
 
 
 def test_signature_equals_sequential_definition():
@@ -125,9 +166,9 @@ def test_blocked_comparison_alone_finds_the_components(spark, monkeypatch, block
     monkeypatch.setattr(neardup, "BLOCK", block)
     docs = chains(7, 120)
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    classes = neardup.sign(df).groupBy("set_id").agg(F.min(F.struct("doc_id", "n", "sig")).alias("c")).selectExpr("c.doc_id AS rep", "c.n AS n", "c.sig AS sig")
+    classes = neardup.sign(df).groupBy("set_id").agg(F.min(F.struct("doc_id", "tag", "n", "sig")).alias("c")).selectExpr("c.doc_id AS rep", "c.doc_id AS doc_id", "c.tag AS tag", "c.n AS n", "c.sig AS sig")
     at = neardup.bands(classes).selectExpr("key", "rep", "n", "rep AS c")
     suspects = neardup.strangers(at, classes)
-    links = neardup.cross_links(suspects, classes.selectExpr("rep", "rep AS c"), df)
+    links = neardup.cross_links(suspects, classes.selectExpr("rep", "rep AS c"), classes, df)
     got = {r.node: r.component for r in components(links).collect()}
     assert all(got.get(i, i) == c for i, _, c, _ in brute(docs) if i in {r.rep for r in classes.collect()})
