@@ -123,7 +123,8 @@ def op9_positional_index(spark, sf_dir):
     return got.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
 
 
-def _quality_sql() -> str:
+def _quality_sql(docs: str = "documents") -> str:
+    """CTEs: f has the counts, bad the documents that a calibrated rule rejects."""
     from meshloom.llm import quality as q
 
     white = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -131,21 +132,32 @@ def _quality_sql() -> str:
     grid = ", ".join(f"({i}, CAST({c} AS DOUBLE))" for i, c in enumerate(q.GRID))
     rules = " UNION ALL ".join(f"SELECT *, '{r}' AS rule, coalesce(CAST({a} AS DOUBLE) / nullif({b}, 0), 0) AS x FROM f" for r, (a, b) in q.RULES.items())
     tail = f"CASE WHEN k_good >= n_good * CAST({q.ALPHA} AS DOUBLE) THEN 1.0 ELSE list_sum(list_transform(range(0, k_good + 1), lambda j: exp(lgamma(n_good + 1) - lgamma(j + 1) - lgamma(n_good - j + 1) + j * ln({q.ALPHA}) + (n_good - j) * ln(1 - {q.ALPHA})))) END"
-    return f"""WITH t AS MATERIALIZED (SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS t, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+    return f"""WITH t AS MATERIALIZED (SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS t, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM {docs}),
     rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, k) AS c FROM (SELECT doc_id, unnest(range(1, len(w) - 3)) AS i, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(list_slice(w, i, i + 4), ' '))) AS k FROM t WHERE len(w) >= 5)) WHERE c > 1) GROUP BY doc_id),
     ls AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: length(trim(x, {white})) > 0) AS l FROM t),
     f AS MATERIALIZED (SELECT t.doc_id, stratum, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, {count('#*$%&|<>')} AS n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, CAST(len(l) AS BIGINT) AS n_lines, {count('!')} AS n_shouts FROM t JOIN ls USING (doc_id) LEFT JOIN rep USING (doc_id)),
     v AS MATERIALIZED ({rules}), g(step, cutoff) AS (VALUES {grid}),
     y AS (SELECT doc_id, min(quality) AS quality FROM labels GROUP BY doc_id),
-    lab AS MATERIALIZED (SELECT v.*, quality FROM v JOIN y USING (doc_id) WHERE quality IN (0, 1)),
-    z AS MATERIALIZED (SELECT stratum, rule, step, cutoff, sum(quality) AS n_good, sum(1 - quality) AS n_bad, CAST(sum(CASE WHEN x > cutoff THEN quality ELSE 0 END) AS BIGINT) AS k_good, sum(CASE WHEN x > cutoff THEN 1 - quality ELSE 0 END) AS k_bad FROM lab, g GROUP BY ALL),
-    p AS (SELECT *, sum(CASE WHEN {tail} <= CAST({q.DELTA} AS DOUBLE) / ((SELECT count(DISTINCT stratum) FROM lab) * {len(q.RULES)}) THEN 0 ELSE 1 END) OVER (PARTITION BY stratum, rule ORDER BY step) AS failures FROM z),
-    best AS (SELECT stratum, rule, arg_max(cutoff, struct_pack(g := round(gain, 9), c := cutoff)) AS cutoff FROM (SELECT *, coalesce(k_bad / nullif(n_bad, 0), 0) - k_good / n_good AS gain FROM p WHERE failures = 0) WHERE gain > 0 GROUP BY ALL),
-    bad AS (SELECT DISTINCT doc_id FROM v JOIN best USING (stratum, rule) WHERE x > best.cutoff)
-    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND doc_id NOT IN (SELECT doc_id FROM bad) AS kept FROM f"""
+    lab AS MATERIALIZED (SELECT v.*, quality, substr(md5(CAST(doc_id AS VARCHAR)), 1, 1) < '8' AS half FROM v JOIN y USING (doc_id) WHERE quality IN (0, 1)),
+    z AS (SELECT stratum, rule, step, sum(quality) AS n_good, sum(1 - quality) AS n_bad, sum(CASE WHEN x > cutoff THEN quality ELSE 0 END) AS k_good, sum(CASE WHEN x > cutoff THEN 1 - quality ELSE 0 END) AS k_bad FROM lab, g WHERE half GROUP BY ALL),
+    stops AS MATERIALIZED (SELECT stratum, rule, arg_max(step, struct_pack(g := round(gain, 9), m := -step)) AS stop FROM (SELECT *, coalesce(k_bad / nullif(n_bad, 0), 0) - coalesce(k_good / nullif(n_good, 0), 0) AS gain FROM z WHERE k_good * {len(q.RULES)} <= CAST({q.ALPHA} AS DOUBLE) * n_good) WHERE round(gain, 9) > 0 GROUP BY ALL),
+    cuts AS MATERIALIZED (SELECT stratum, rule, g.step, c.cutoff FROM stops, g JOIN g c ON c.step = least(g.step, stop)),
+    hit AS (SELECT DISTINCT doc_id, step FROM lab JOIN cuts USING (stratum, rule) WHERE NOT half AND x > cuts.cutoff),
+    hold AS (SELECT DISTINCT doc_id, stratum, quality FROM lab WHERE NOT half),
+    k AS (SELECT h.stratum, g.step, CAST(sum(quality) AS BIGINT) AS n_good, CAST(sum(CASE WHEN hit.doc_id IS NOT NULL THEN quality ELSE 0 END) AS BIGINT) AS k_good FROM hold h CROSS JOIN g LEFT JOIN hit ON hit.doc_id = h.doc_id AND hit.step = g.step WHERE h.stratum IN (SELECT stratum FROM stops) GROUP BY ALL),
+    passed AS (SELECT *, sum(CASE WHEN {tail} <= CAST({q.DELTA} AS DOUBLE) / (SELECT count(DISTINCT stratum) FROM lab) THEN 0 ELSE 1 END) OVER (PARTITION BY stratum ORDER BY step) AS failures FROM k),
+    held AS (SELECT stratum, max(step) AS step FROM passed WHERE failures = 0 GROUP BY stratum),
+    bad AS (SELECT DISTINCT doc_id FROM v JOIN held USING (stratum) JOIN cuts USING (stratum, rule, step) WHERE x > cuts.cutoff)"""
 
 
-@query(_quality_sql())
+QUALITY_KEPT = "NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND doc_id NOT IN (SELECT doc_id FROM bad)"
+
+
+def _quality_report_sql() -> str:
+    return f"{_quality_sql()} SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, {QUALITY_KEPT} AS kept FROM f"
+
+
+@query(_quality_report_sql())
 def op10_risk_thresholds(spark, sf_dir):
     """Counts and verdict of every document."""
     from meshloom.llm.quality import BASE, judge
