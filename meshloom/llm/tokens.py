@@ -1,18 +1,25 @@
 """Token counts of whole texts, long ones by overlapping chunks that are spliced at proven common boundaries.
 
-**Boundary.** A place where both chunks end a token and an ASCII white-space byte follows, with at least that byte inside both
-chunks. Vocabularies here split words before white space ever reaches the merges, so what lies behind such a place cannot change what
-lies before it: counts before the place are taken from the left chunk, counts after it from the right one. A chunk's first and last
-word may be cut; neither ends at such a place in both chunks. Where an overlap holds no common place (one very long word), the overlap doubles.
+**Chunks.** A text above `LONG` bytes is cut into chunks that overlap, and the library gives each chunk's tokens with their offsets. **Boundary.** A place where both chunks end a token, between
+a byte that is not ASCII white space and one that is, both of them inside both chunks. No token may reach over such a place: vocabularies for the tokenizers library must split
+words before the merges; of a sentencepiece model only those white-space bytes count that follow nothing but white space in any of its pieces (without any, its texts are not
+cut). So what lies behind the place cannot change what lies before it: counts before it are taken from the left chunk, counts after it from the right one. A chunk's first
+and last word may be cut; neither ends at such a place in both chunks. Where an overlap holds no common place (one very long word, or chunks that disagree), the overlap doubles.
+
+Edge cases: null and empty texts have no tokens and no bytes; special strings in texts are handled as the library does by default; rows that repeat a document each get a row; null ids stay null;
+counts have no ties; an empty table gives an empty result; extra columns are not read, whatever their names. A very long text is held whole, and encoded a chunk at a time.
 """
 
+import json
+import os
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from meshloom.llm.arrow_text import SPACE, Memo, Words, spans, split, texts
+from meshloom.llm.arrow_text import SPACE, Memo, Words, split, texts
 
 #: tokens of a piece, given its bytes
 Encode = Callable[[list[bytes]], np.ndarray]
@@ -27,8 +34,6 @@ def library(path: str) -> Encode:
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         return lambda t: np.array([len(x) for x in sp.encode([b.decode("utf-8", "replace") for b in t], num_threads=1)], np.int32)
-    import os
-
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
@@ -38,21 +43,26 @@ def library(path: str) -> Encode:
     return lambda t: np.array([len(e) for e in tok.encode_batch_fast([b.decode("utf-8", "replace") for b in t], add_special_tokens=False)], np.int32)
 
 
-def splits_at_space(path: str) -> bool:
-    """Whether the file drops white space and encodes each word by itself, read from its own description: a text's tokens are then those of its words."""
-    import json
+#: fixed values: the kinds of splitting rules of which it is known that their words hold no white space and that white space is dropped, and of changes to texts that keep words apart
+SPLITS = re.compile(r"(?:'[a-z]{1,2}\||\[\\p\{[LN]\}\]\+?\|)*\[\^\\s\\p\{L\}\\p\{N\}\]\+")
+CHANGES = [{"type": "NFC"}, {"type": "Lowercase"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}]
+
 
+def splits_at_space(path: str) -> bool:
+    """Whether the file is known to drop white space and to encode each word by itself, so that a text's tokens are those of its words. Only the rules in SPLITS and CHANGES are known."""
     if not path.endswith(".json"):
         return False
     with open(path, encoding="utf-8") as f:
         d = json.load(f)
-    pre = (d.get("pre_tokenizer") or {}).get("pretokenizers") or [d.get("pre_tokenizer") or {}]
-    first = pre[0]
-    # kept are only matches, and none of its alternatives can match white space
+    normal = d.get("normalizer") or {"type": "Sequence", "normalizers": []}
+    changes = normal["normalizers"] if normal["type"] == "Sequence" else [normal]
+    pre = d.get("pre_tokenizer") or {}
+    first, *more = pre.get("pretokenizers") or [pre]
     pattern = (first.get("pattern") or {}).get("Regex", "")
-    whole = first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") is True and "[^\\s" in pattern and "\\s+" not in pattern and " ?" not in pattern
+    words = first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") is True and SPLITS.fullmatch(pattern) is not None
+    bytes_only = all(x.get("type") == "ByteLevel" and not x.get("add_prefix_space") and not x.get("use_regex", True) for x in more)
     plain = all(not any(t.get(k) for k in ("lstrip", "rstrip", "single_word")) and not any(c.isspace() for c in t["content"]) for t in d.get("added_tokens") or [])
-    return whole and plain
+    return words and bytes_only and plain and all(c in CHANGES for c in changes) and not d.get("post_processor") and not d["model"].get("dropout")
 
 
 class Pieces:
@@ -65,20 +75,21 @@ class Pieces:
         return self.memo.get(w.hashes(), lambda i: self.encode([w.text(k) for k in i]))[:, 0] if len(w.starts) else np.zeros(0, np.int32)
 
 
-class Ends:
-    """Encodes a chunk into boundaries (bytes from the chunk's start) and the tokens up to each, by `Pieces`."""
+def _open(ends: np.ndarray, upto: np.ndarray, data: np.ndarray, white: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """The ends that all tokens up to there share and that white space follows, and the tokens up to each."""
+    last = np.append(ends[1:] > ends[:-1], True) if len(ends) else np.zeros(0, bool)
+    if len(ends):
+        last &= (ends >= len(data)) | white[data[np.minimum(ends, len(data) - 1)]]
+    return ends[last], upto[last]
 
-    def __init__(self, pieces: Pieces):
-        self.pieces = pieces
 
-    def __call__(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        o = np.array([0, len(data)])
-        w = Words(0, 1, data, o, *spans(data, o))
-        return w.ends, np.cumsum(self.pieces(w), dtype=np.int64)
+def _starts(data: np.ndarray) -> np.ndarray:
+    """Bytes before each character, and before the end."""
+    return np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
 
 
 class LibraryEnds:
-    """The same for any Hugging Face tokenizer, from its own offsets."""
+    """Encodes a chunk into boundaries (bytes from the chunk's start) and the tokens up to each, and all its tokens, from the offsets that the tokenizers library gives."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -87,22 +98,31 @@ class LibraryEnds:
         self.tok.no_truncation()
         self.tok.no_padding()
 
-    def __call__(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        text = data.tobytes().decode("utf-8", "replace")
-        got = self.tok.encode(text, add_special_tokens=False)
-        ends = np.array([e for _, e in got.offsets], np.int64)
-        # bytes before each character
-        at = np.concatenate([[0], np.cumsum([len(c.encode()) for c in text])]).astype(np.int64)
-        ends = at[ends] if len(ends) else ends
-        n = np.arange(1, len(ends) + 1)
-        # a place must follow all tokens that end there, and white space must follow it
-        last = np.append(ends[1:] > ends[:-1], True) if len(ends) else np.zeros(0, bool)
-        free = last & ((ends >= len(data)) | SPACE[data[np.minimum(ends, len(data) - 1)]] if len(data) else last)
-        return ends[free], n[free]
+    def __call__(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+        got = self.tok.encode(data.tobytes().decode("utf-8", "replace"), add_special_tokens=False)
+        ends = _starts(data)[np.array([e for _, e in got.offsets], np.int64)]
+        return *_open(ends, np.arange(1, len(ends) + 1), data), len(ends)
+
+
+class PieceEnds:
+    """The same for a sentencepiece model; `white` are the bytes that no piece has after anything but white space, so that no piece reaches over a boundary before one."""
+
+    def __init__(self, path: str):
+        import sentencepiece
+
+        self.sp = sentencepiece.SentencePieceProcessor(model_file=path)
+        pieces = [self.sp.id_to_piece(i).replace("\u2581", " ") for i in range(self.sp.get_piece_size())]
+        inner = {b for p in pieces for a, b in zip(p, p[1:], strict=False) if not a.isspace()}
+        self.white = SPACE & ~np.array([chr(c) in inner for c in range(256)])
+
+    def __call__(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+        got = self.sp.encode(data.tobytes().decode("utf-8", "replace"), return_type="proto").pieces
+        ends = np.array([p.end for p in got], np.int64)
+        return *_open(ends, np.arange(1, len(ends) + 1), data, self.white), len(ends)
 
 
 def count_long(encode, data: np.ndarray, size: int = LONG, overlap: int = OVERLAP) -> int:
-    """Tokens of one text from overlapping chunks; encode(bytes) gives boundaries and the tokens up to each."""
+    """Tokens of one text from overlapping chunks; encode(bytes) gives boundaries, the tokens up to each, and all tokens."""
     def cut(i: int) -> int:  # not inside a character
         while 0 < i < len(data) and data[i] & 0xC0 == 0x80:
             i -= 1
@@ -110,19 +130,18 @@ def count_long(encode, data: np.ndarray, size: int = LONG, overlap: int = OVERLA
 
     n = len(data)
     start, stop = 0, cut(min(n, size))
-    ends, upto = encode(data[start:stop])
+    ends, upto, held = encode(data[start:stop])
     total, since = 0, 0  # tokens before the last splice; those of this chunk before it
     while stop < n:
         width = overlap
         while True:
             begin, end = cut(max(start, stop - width)), cut(min(n, stop - width + size + width))
-            right, r_upto = encode(data[begin:end])
+            right, r_upto, r_held = encode(data[begin:end])
             a, b = ends + start, right + begin
             # inside both chunks with the byte after it, and not an edge of either
             both = np.intersect1d(a[a < stop], b[(b > begin) & (b < end)])
-            both = both[SPACE[data[both]]] if len(both) else both
-            # a boundary that the right chunk's cut first word ends at is one that the left chunk has, too; but what lies before it in the right chunk is not used
             both = both[both > max(begin, start)]
+            both = both[SPACE[data[both]] & ~SPACE[data[both - 1]]] if len(both) else both
             if len(both):
                 break
             if begin <= start:  # the right chunk starts where the left one does and reaches further: it replaces it
@@ -133,35 +152,34 @@ def count_long(encode, data: np.ndarray, size: int = LONG, overlap: int = OVERLA
             total += int(upto[np.searchsorted(a, p)]) - since
             since = int(r_upto[np.searchsorted(b, p)])
             start = begin
-        # else the same start, and the tokens spliced off before stay off
-        stop, ends, upto = end, right, r_upto
-        if not len(both):
+        else:  # the same start, and the tokens spliced off before stay off
             size *= 2
-    return total + (int(upto[-1]) if len(upto) else 0) - since
+        stop, ends, upto, held = end, right, r_upto, r_held
+    return total + held - since
 
 
 def count_tokens(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text", long: int = LONG, overlap: int = OVERLAP) -> DataFrame:
     """(id, n_bytes, n_tokens), a row for each row of docs; null is as empty. No shuffle: each text is counted where it is read.
 
-    Texts above `long` bytes go through overlapping chunks. Where the vocabulary file encodes white-space separated words by
-    themselves (see `splits_at_space`), words are remembered, in a table of bounded size; else the library gets each text or chunk.
+    Texts above `long` bytes go through overlapping chunks. Of others, where the vocabulary file is known to encode white-space separated words by
+    themselves (see `splits_at_space`), words are remembered, in a table of bounded size; else the library gets each text.
     """
     schema = f"{id_column} {docs.schema[id_column].dataType.simpleString()}, n_bytes bigint, n_tokens bigint"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_word = splits_at_space(path)
         encode = library(path)
-        pieces = Pieces(encode) if by_word else None
-        ends = Ends(pieces) if by_word else None if path.endswith(".model") else LibraryEnds(path)
+        pieces = Pieces(encode) if splits_at_space(path) else None
+        ends = PieceEnds(path) if path.endswith(".model") else LibraryEnds(path)
+        whole = isinstance(ends, PieceEnds) and not ends.white.any()
         for batch in batches:
             data, off = texts(batch, text_column)
             sizes = np.diff(off)
             n = np.zeros(len(sizes), np.int64)
-            cut = sizes > long if ends is not None else np.zeros(len(sizes), bool)
+            cut = np.zeros(len(sizes), bool) if whole else sizes > long
             for i in np.flatnonzero(cut):
                 n[i] = count_long(ends, data[off[i] : off[i + 1]], long, overlap)
             rest = np.flatnonzero(~cut)
-            if by_word:
+            if pieces:
                 for w in split(batch.select([text_column]).take(pa.array(rest)), text_column):
                     c = np.concatenate([[0], np.cumsum(pieces(w), dtype=np.int64)])
                     n[rest[w.first : w.last]] = np.diff(c[w.bounds])

@@ -1,3 +1,5 @@
+import json
+
 import numpy as np
 import public_tokenizers
 import pytest
@@ -29,6 +31,25 @@ def test_word_kind():
     assert tokens.splits_at_space(WORD) and not tokens.splits_at_space(PATHS["byte_bpe_50k.json"])
 
 
+@pytest.mark.parametrize("pattern", ["[^\\s]+|\\s", "[^\\s]+|\\s{2}", "\\S+", "[^\\s\\p{L}\\p{N}]+|.", " ?[\\p{L}]+|[^\\s\\p{L}\\p{N}]+"])
+def test_unknown_kinds_of_splitting(tmp_path, pattern):
+    d = json.loads(open(WORD, encoding="utf-8").read())
+    d["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] = pattern
+    d["model"] |= {"vocab": {}, "merges": []}
+    (tmp_path / "x.json").write_text(json.dumps(d))
+    assert not tokens.splits_at_space(str(tmp_path / "x.json"))
+
+
+@pytest.mark.parametrize("name", PATHS)
+def test_one_long_text(name):
+    """Production sizes, on a text of about a megabyte that has a word of 100,000 bytes."""
+    text = (" ".join(f"word{i % 977}'s  é{i}\n" for i in range(40_000)) + "z" * 100_000 + " end " + "中文 " * 20_000).encode()
+    ends = tokens.PieceEnds(PATHS[name]) if name.endswith(".model") else tokens.LibraryEnds(PATHS[name])
+    calls = []
+    got = tokens.count_long(lambda d: calls.append(len(d)) or ends(d), np.frombuffer(text, np.uint8))
+    assert got == int(tokens.library(PATHS[name])([text])[0]) and len(calls) > 20
+
+
 def test_empty_table(spark):
     assert tokens.count_tokens(spark.createDataFrame([], "doc_id long, text string, n_tokens int"), WORD).count() == 0
 
