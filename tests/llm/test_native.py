@@ -93,17 +93,32 @@ def test_rules_equal_brute_force(spark):
         assert {(r.page_id, r.host, r.path, r.rule, r.verdict) for r in got.collect()} == {(i, *judged(u, rules)) for i, u in enumerate(pages)}
 
 
-def test_cascade_is_exact(spark):
-    universe = spark.range(20000).selectExpr("CAST(id AS STRING) AS key")
-    listed = universe.where("key % 7 = 0")
-    levels = urls.build(listed, universe)
-    assert len(levels) > 2
+@pytest.mark.parametrize("slices", [1, 3])
+def test_cascade_is_exact(spark, monkeypatch, slices):
     from pyspark.sql import functions as F
 
-    wrong = universe.where(urls.member(levels, F.col("key")) != (F.col("key").cast("int") % 7 == 0))
+    monkeypatch.setattr(urls, "FIRST_BITS", 9)
+    monkeypatch.setattr(urls, "LEAST_BITS", 64)
+    universe = spark.range(20000).selectExpr("CAST(id AS STRING) AS key")
+    listed = universe.where("key % 7 = 0")
+    monkeypatch.setattr(urls, "SLICE", 3000 // slices)
+    cascades = urls.build(listed, universe)
+    assert len(cascades) == slices and all(len(levels) > 2 for levels in cascades)
+    wrong = universe.where(urls.member(cascades, F.col("key")) != (F.col("key").cast("int") % 7 == 0))
     assert wrong.count() == 0
 
 
+def test_many_path_lengths_and_no_pages(spark, monkeypatch):
+    rules = [("a.com", "/" + "x" * i, "block") for i in range(0, 40, 3)]
+    pages = [(i, f"http://www.a.com/{'x' * i}") for i in range(0, 50, 7)] + [(99, "http://a.com")]
+    df = spark.createDataFrame(pages, "page_id long, url string")
+    r = spark.createDataFrame(rules, "host string, path string, verdict string")
+    for many in (100, 5):
+        monkeypatch.setattr(urls, "MANY", many)
+        assert {(x.page_id, x.host, x.path, x.rule, x.verdict) for x in urls.apply_rules(df, r).collect()} == {(i, *judged(u, rules)) for i, u in pages}
+    assert urls.apply_rules(df.limit(0), r).count() == 0
+
+
 def repeats(t):
     w = [x.decode() for x in (t or "").encode().split()]
     c = Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
