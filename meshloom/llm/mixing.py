@@ -7,49 +7,75 @@ whole pass; so nothing is lost by default. **Blocks.** A source's documents are
 budget holds; for the rest, its blocks are taken in a seeded random order, and within the block at the budget's edge its documents in such an order, while they
 fit. Prefix sums run over blocks, and over documents of one block only, so a source with a third of all rows is no task of its own.
 
-Edge cases: null or empty sources are sources like others; null texts have no tokens and ride along with whole passes; equal hashes are ordered by id; rows that repeat a document
-count each; an empty table gives an empty result.
+Only the sums of powers that the bisection needs reach the driver: of up to `SOURCES` sources from their token counts, of more from an aggregate for each step.
+
+Edge cases: null or empty sources are sources like others; null and empty texts have no tokens and ride along with whole passes; equal hashes (ties) are ordered by id; rows that repeat a
+document count each; an empty table gives an empty result; extra columns are not read, whatever their names. A very long text is one document of many tokens: it fits a budget whole or not at all.
 """
 
 import math
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from meshloom.llm.joins import if_small
 from meshloom.llm.text import words
 from meshloom.plans.lineage import cut
 
-#: documents of a block on average, and sources up to which their weights are found on the driver
+#: documents of a block on average, and sources whose token counts the driver holds for the bisection
 BLOCK, SOURCES = 256, 100_000
 #: default: no source is passed over more than four times
 REPEATS = 4.0
 
 
-def weights(tokens: dict, t: float) -> dict:
-    """p^t normalised; sources without tokens weigh 0."""
-    top = max(tokens.values(), default=0)
-    raw = {s: (n / top) ** t if n else 0.0 for s, n in tokens.items()}
-    total = math.fsum(raw.values())
-    return {s: w / total if total else 0.0 for s, w in raw.items()}
+#: of an exponent t: sum of (n / top)^t over the sources with n > 0 tokens, and sum of (n / top)^t * ln (n / top)^t
+Moments = Callable[[float], tuple[float, float]]
+
+
+def moments_of(counts: Iterable[int]) -> Moments:
+    some = [n for n in counts if n]
+    top = max(some, default=1)
+
+    def moments(t: float) -> tuple[float, float]:
+        return math.fsum((n / top) ** t for n in some), math.fsum((n / top) ** t * t * math.log(n / top) for n in some)
+
+    return moments
+
+
+def moments_by_aggregate(sums: DataFrame) -> Moments:
+    """The same of sums(n), for more sources than the driver should hold."""
+    some = sums.where("n > 0")
+    top = some.agg(F.max("n")).head()[0] or 1
+
+    def moments(t: float) -> tuple[float, float]:
+        x = F.pow(F.col("n") / F.lit(top), F.lit(t))
+        got = some.agg(F.sum(x), F.sum(x * F.log(x))).head()
+        return got[0] or 0.0, got[1] or 0.0
+
+    return moments
+
 
+def entropy(moments: Moments, t: float) -> float:
+    """Of the weights at t."""
+    z, zl = moments(t)
+    return math.log(z) - zl / z if z else 0.0
 
-def entropy(w: dict) -> float:
-    return -math.fsum(x * math.log(x) for x in w.values() if x)
 
+def rate(moments: Moments, t: float, total: float | None, top: float) -> float:
+    """How often the largest source is passed over; another of n tokens is (n / top)^(t - 1) times as often. By default it is passed once, and no source less."""
+    z, _ = moments(t)
+    return 1.0 if total is None or not z else total / (z * top)
 
-def passes(tokens: dict, t: float, total: float | None = None) -> dict:
-    """How often each source is passed over; by default the source that gets least in proportion is passed once."""
-    w = weights(tokens, t)
-    per = {s: w[s] / n for s, n in tokens.items() if n}
-    scale = total if total is not None else 1 / min(per.values(), default=1.0)
-    return {s: per.get(s, 1.0 / scale if scale else 0.0) * scale for s in tokens}
 
+def exponent(moments: Moments, least: float, top: float, target_entropy: float | None = None, max_passes: float | None = None, total: float | None = None, steps: int = 60) -> float:
+    """By bisection over [0, 1]: the largest t whose entropy is at least the target, or the smallest t without more passes than the limit (1 if even shares pass it).
 
-def exponent(tokens: dict, target_entropy: float | None = None, max_passes: float | None = None, total: float | None = None, steps: int = 60) -> float:
-    """By bisection over [0, 1]: the largest t whose entropy is at least the target, or the smallest t without more passes than the limit (1 if even shares pass it)."""
+    least and top are the tokens of the smallest and the largest source that has any.
+    """
     if target_entropy is not None:
-        good = lambda t: entropy(weights(tokens, t)) >= target_entropy
+        good = lambda t: entropy(moments, t) >= target_entropy
         low, high = 0.0, 1.0
         if good(high):
             return high
@@ -58,7 +84,7 @@ def exponent(tokens: dict, target_entropy: float | None = None, max_passes: floa
             low, high = (mid, high) if good(mid) else (low, mid)
         return low
     limit = REPEATS if max_passes is None else max_passes
-    good = lambda t: max(passes(tokens, t, total).values(), default=0.0) <= limit
+    good = lambda t: rate(moments, t, total, top) * (least / top) ** (t - 1) <= limit
     low, high = 0.0, 1.0
     if good(low):
         return low
@@ -78,17 +104,17 @@ def copies(docs: DataFrame, target_entropy: float | None = None, max_passes: flo
     """(doc_id, source, n_tokens, block, copies) for each row of docs: how often the mix holds it."""
     sized = docs.select("doc_id", "source", F.size(words(F.col("text"))).cast("bigint").alias("n_tokens"))
     sums = sized.groupBy("source").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("rows"))
-    rows = sums.limit(SOURCES + 1).collect()
-    if len(rows) > SOURCES:
-        raise ValueError(f"more than {SOURCES} sources; group them first")
-    spark = docs.sparkSession
-    tokens = {r["source"]: r["n"] for r in rows}
-    t = exponent(tokens, target_entropy, max_passes, total)
-    often = passes(tokens, t, total)
+    sums = cut(sums)
+    n_sources, least, top = sums.agg(F.count("*"), F.min(F.when(F.col("n") > 0, F.col("n"))), F.max("n")).head()
+    top = top or 1
+    moments = moments_of(r[0] for r in sums.select("n").collect()) if n_sources <= SOURCES else moments_by_aggregate(sums)
+    t = exponent(moments, least or 1, top, target_entropy, max_passes, total)
+    often = F.lit(rate(moments, t, total, top)) * F.pow(F.col("n") / F.lit(top), F.lit(t - 1))
     # rounded, so that a pass that is whole but for the last bits is whole
-    plan = [(r["source"], int(k := round(often[r["source"]], 9)), round((k - int(k)) * r["n"], 6), max(1, r["rows"] // BLOCK)) for r in rows]
-    known = F.broadcast(spark.createDataFrame(plan, "source string, whole int, rest double, blocks long"))
-    dealt = cut(sized.join(known, sized["source"].eqNullSafe(known["source"])).select(sized["*"], "whole", "rest", (draw(seed, F.col("doc_id")) % F.col("blocks")).cast("int").alias("block")))
+    k = F.round(F.when(F.col("n") > 0, often).otherwise(F.lit(1.0)), 9)
+    plan = sums.select(F.col("source").alias("s0"), F.floor(k).cast("int").alias("whole"), F.round((k - F.floor(k)) * F.col("n"), 6).alias("rest"), F.greatest(F.lit(1).cast("bigint"), F.floor(F.col("rows") / F.lit(BLOCK))).alias("blocks"))
+    joined = sized.join(if_small(cut(plan)), sized["source"].eqNullSafe(F.col("s0")))
+    dealt = cut(joined.select(*sized.columns, "whole", "rest", (draw(seed, F.col("doc_id")) % F.col("blocks")).cast("int").alias("block")))
     order = draw(seed + 1, F.col("source"), F.col("block"))
     blocks = dealt.groupBy("source", "block", "rest").agg(F.sum("n_tokens").alias("size")).withColumn("order", order)
     # a source has one block for 256 documents; its running sum is over ranges of the order first, then within a range

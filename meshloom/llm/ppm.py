@@ -12,8 +12,9 @@ all executors, at most 1 / FLOOR; the rest is looked up in one join, pre-counted
 **Base.** log10((c + 1) / (N + 1 * (V + 1))) for each word and one end. Words that are at least FLOOR of all words travel as well; the rare rest is
 looked up in the same join.
 
-Edge cases: null is as empty, and scores its end; without training texts N = V = 0 and all bytes are equally likely; rows that repeat a
-document each count and each get a row; null ids are texts of the training part.
+Edge cases: null and empty texts score their end; without training texts N = V = 0 and all bytes are equally likely; rows that repeat a
+document each count and each get a row, also where one id has several texts; null ids are texts of the training part; counts have no ties to break; an empty table gives an empty result; extra
+columns are not read, whatever their names. A very long text is one chunk, with some 60 bytes of arrays for each of its bytes. Grams are exact; words are counted by 64-bit hashes.
 """
 
 from collections.abc import Iterator

@@ -222,33 +222,45 @@ def test_line_edges(spark):
     assert (4, 0, 0) in report and (5, 0, 0) in report and (1, 42, 0) in report
 
 
-def plan_of(docs, **more):
-    tokens = Counter()
-    for _, s, n in docs:
-        tokens[s] += n
-    t = mixing.exponent(tokens, **more)
-    return tokens, mixing.passes(tokens, t, more.get("total")), t
+def passes(tokens, t, total=None):
+    """How often each source is passed over at an exponent, in plain Python."""
+    top = max(tokens.values())
+    raw = {s: (n / top) ** t for s, n in tokens.items() if n}
+    z = math.fsum(raw.values())
+    per = {s: w / z / tokens[s] for s, w in raw.items()}
+    scale = total if total is not None else 1 / min(per.values())
+    return {s: per[s] * scale if n else 1.0 for s, n in tokens.items()}
 
 
-def test_exponent_meets_its_target():
-    tokens = {"a": 10_000, "b": 1000, "c": 100, "d": 0}
-    t = mixing.exponent(tokens, max_passes=4.0)
-    assert max(mixing.passes(tokens, t).values()) == pytest.approx(4.0) and min(v for k, v in mixing.passes(tokens, t).items() if k != "d") == pytest.approx(1.0)
-    t = mixing.exponent(tokens, target_entropy=0.9)
-    assert mixing.entropy(mixing.weights(tokens, t)) == pytest.approx(0.9)
-    assert mixing.exponent({"a": 5}) == 0.0 and mixing.exponent({}) == 0.0
-    even = mixing.weights(tokens, 0.0)
-    assert even["a"] == even["c"] == pytest.approx(1 / 3)
+def exponent(tokens, **more):
+    some = [n for n in tokens.values() if n]
+    return mixing.exponent(mixing.moments_of(tokens.values()), min(some, default=1), max(some, default=1), **more)
 
 
-@pytest.mark.parametrize("more", [{}, {"max_passes": 2.5}, {"target_entropy": 1.0}, {"total": 5000.0}, {"total": 90_000.0, "max_passes": 3.0}])
-def test_budgets_are_met(spark, more, monkeypatch):
+def test_exponent_meets_its_target():
+    tokens = {"a": 10_000, "b": 1000, "c": 100, "d": 0}
+    got = passes(tokens, exponent(tokens, max_passes=4.0))
+    assert max(got.values()) == pytest.approx(4.0) and min(v for k, v in got.items() if k != "d") == pytest.approx(1.0)
+    moments = mixing.moments_of(tokens.values())
+    for target in (0.5, 0.9, 1.05):
+        t = exponent(tokens, target_entropy=target)
+        w = [n**t for n in (10_000, 1000, 100)]
+        assert mixing.entropy(moments, t) == pytest.approx(target) == -math.fsum(x / sum(w) * math.log(x / sum(w)) for x in w)
+    assert exponent({"a": 5}) == 0.0 and exponent({}) == 0.0
+
+
+@pytest.mark.parametrize(("more", "sources"), [({}, 10), ({"max_passes": 2.5}, 0), ({"target_entropy": 1.0}, 10), ({"total": 5000.0}, 10), ({"total": 90_000.0, "max_passes": 3.0}, 10)])
+def test_budgets_are_met(spark, more, sources, monkeypatch):
     monkeypatch.setattr(mixing, "BLOCK", 8)
+    monkeypatch.setattr(mixing, "SOURCES", sources)
     rng = random.Random(4)
     docs = [(i, rng.choice(["hot"] * 6 + ["b", "c", None, ""]), rng.randint(0, 30)) for i in range(900)]
     df = spark.createDataFrame([(i, "w " * n if n else None, s) for i, s, n in docs], "doc_id long, text string, source string").selectExpr("*", "1 AS n", "2 AS block", "3 AS rest")
     got = mixing.copies(df, **more).collect()
-    tokens, often, _ = plan_of(docs, **more)
+    tokens = Counter()
+    for _, s, n in docs:
+        tokens[s] += n
+    often = passes(tokens, exponent(tokens, **more), more.get("total"))
     assert len(got) == len(docs)
     for s in tokens:
         own = [r for r in got if r.source == s]
