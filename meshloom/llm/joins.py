@@ -23,10 +23,10 @@ def _bytes(field: T.StructField) -> Column:
     return F.lit(16)
 
 
-def small(df: DataFrame) -> bool:
-    """Whether all rows together, by the measured length of their values, are small enough for a broadcast."""
+def small(df: DataFrame, most: int | None = None) -> bool:
+    """Whether all rows together, by the measured length of their values, have at most so many bytes (BROADCAST_BYTES)."""
     total = sum((_bytes(f) for f in df.schema), F.lit(16)).cast("bigint")
-    return (df.agg(F.sum(total)).head()[0] or 0) <= BROADCAST_BYTES
+    return (df.agg(F.sum(total)).head()[0] or 0) <= (BROADCAST_BYTES if most is None else min(most, BROADCAST_BYTES))
 
 
 def if_small(df: DataFrame) -> DataFrame:
@@ -34,15 +34,16 @@ def if_small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if small(df) else df
 
 
-def lookup(rows: DataFrame, table: DataFrame, keys: list[str], by: list[str], how: str = "inner") -> DataFrame:
+def lookup(rows: DataFrame, table: DataFrame, keys: list[str], by: list[str], how: str = "inner", counts: DataFrame | None = None, most: int | None = None) -> DataFrame:
     """rows joined with table, which has each key at most once; how is inner, left or left_semi.
 
     A small table is broadcast. Else rows of a hot key are dealt by a hash of the columns `by` over several tasks, each of which gets the table's row. A key is hot from
-    HOT_ROWS rows on, or from one in HOT_KEYS of all rows, if that is more: so there are at most HOT_KEYS hot keys, however large the tables are.
+    HOT_ROWS rows on, or from one in HOT_KEYS of all rows, if that is more: so there are at most HOT_KEYS hot keys, however large the tables are. counts(keys, _n) spares counting
+    the rows where it is known how many of them each key of the table has; most is a lower bound on broadcasts than BROADCAST_BYTES.
     """
-    if small(table):
+    if small(table, most):
         return rows.join(F.broadcast(table), keys, how)
-    counts = cut(rows.groupBy(*keys).agg(F.count("*").alias("_n")))
+    counts = cut(rows.groupBy(*keys).agg(F.count("*").alias("_n"))) if counts is None else counts
     most = max(HOT_ROWS, (counts.agg(F.sum("_n")).head()[0] or 0) // HOT_KEYS)
     hot = counts.where(F.col("_n") > most).select(*keys, F.ceil(F.col("_n") / F.lit(most)).cast("int").alias("_parts"))
     if not hot.limit(1).count():

@@ -30,6 +30,8 @@ from meshloom.plans.lineage import cut
 
 WINDOW, KMER = 50, 25
 SPREAD = WINDOW - KMER + 1
+#: bytes of repeated digests up to which they are broadcast
+TRAVEL = 2 << 20
 TOP = U(0xFFFFFFFFFFFFFFFF)
 
 
@@ -119,16 +121,16 @@ def _narrow(docs: DataFrame, keys: DataFrame) -> DataFrame:
     return tagged(docs).join(if_small(keys), ["doc_id", "tag"], "left_semi").dropDuplicates(["doc_id", "tag"])
 
 
-def _digests(text: bytes, starts: np.ndarray, stops: np.ndarray) -> list[bytes]:
-    """128 bits of the words from each start up to each stop, joined by a space."""
+def _digests(text: bytes, starts: np.ndarray, stops: np.ndarray) -> bytes:
+    """128 bits of the words from each start up to each stop, joined by a space, one after the other."""
     w = text.split()
     joined = b" ".join(w)
     at = np.concatenate([[0], np.cumsum([len(x) + 1 for x in w])])
-    return [hashlib.blake2b(joined[a:b], digest_size=16).digest() for a, b in zip(at[starts].tolist(), (at[stops] - 1).tolist(), strict=True)]
+    return b"".join(hashlib.blake2b(joined[a:b], digest_size=16).digest() for a, b in zip(at[starts].tolist(), (at[stops] - 1).tolist(), strict=True))
 
 
 def proposals(texts: DataFrame, marks: DataFrame) -> DataFrame:
-    """(doc_id, tag, start, stop, digest) of passages that may be repeated: spans of paths in marks(doc_id, tag, marks array of (at, start, stop)) with 50 words or more, and windows whose k-mer is in marks and that stick out of its path."""
+    """(doc_id, tag, start, stop, d1, d2), a row for each text, with arrays of places and of the two halves of their words' digests, of passages that may be repeated: spans of paths in marks(doc_id, tag, marks array of (at, start, stop)) with 50 words or more, and windows whose k-mer is in marks and that stick out of its path."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,16 +162,15 @@ def proposals(texts: DataFrame, marks: DataFrame) -> DataFrame:
                 order = np.argsort(doc, kind="stable")
                 begin, end, doc = begin[order], end[order], doc[order]
                 cuts = np.searchsorted(doc, np.arange(w.n_docs + 1))
-                digests: list[bytes] = []
+                digests = bytearray()
                 for d in np.unique(doc):
                     own = slice(cuts[d], cuts[d + 1])
                     digests += _digests(w.data[w.offsets[d] : w.offsets[d + 1]].tobytes(), begin[own] - w.bounds[d], end[own] - w.bounds[d])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[w.first + doc]), pa.array(tags[w.first + doc]), pa.array((begin - w.bounds[doc]).astype(np.int32)), pa.array((end - w.bounds[doc]).astype(np.int32)), pa.array(digests, pa.binary())],
-                    names=["doc_id", "tag", "start", "stop", "digest"],
-                )
+                halves = np.frombuffer(bytes(digests), np.int64).reshape(-1, 2)
+                lists = [pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(x)) for x in ((begin - w.bounds[doc]).astype(np.int32), (end - w.bounds[doc]).astype(np.int32), halves[:, 0].copy(), halves[:, 1].copy())]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[w.first : w.last]), pa.array(tags[w.first : w.last]), *lists], names=["doc_id", "tag", "start", "stop", "d1", "d2"])
 
-    return texts.join(marks, ["doc_id", "tag"]).select("doc_id", "tag", "text", "marks").mapInArrow(run, "doc_id bigint, tag bigint, start int, stop int, digest binary")
+    return texts.join(marks, ["doc_id", "tag"]).select("doc_id", "tag", "text", "marks").mapInArrow(run, "doc_id bigint, tag bigint, start array<int>, stop array<int>, d1 array<bigint>, d2 array<bigint>")
 
 
 def removed_spans(docs: DataFrame, surveyed: DataFrame) -> DataFrame:
@@ -181,9 +182,11 @@ def removed_spans(docs: DataFrame, surveyed: DataFrame) -> DataFrame:
     placed = lookup(here.select("doc_id", "tag", "at", "kmer"), path, ["kmer"], ["doc_id", "at"]).withColumn("start", (F.col("at") - F.col("off")).cast("int")).withColumn("stop", (F.col("start") + F.col("reach") + KMER).cast("int"))
     marks = cut(placed.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("at", "start", "stop")).alias("marks")))
     texts = _narrow(docs, marks.select("doc_id", "tag"))
-    found = cut(proposals(texts, marks))
-    first = cut(found.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first <> last").select("digest", "first"))
-    return lookup(found, first, ["digest"], ["doc_id", "start"]).where("doc_id > first").select("doc_id", "tag", "start", "stop")
+    found = cut(proposals(texts, marks)).select("doc_id", "tag", F.explode(F.arrays_zip("start", "stop", "d1", "d2")).alias("p")).select("doc_id", "tag", "p.*")
+    first = found.groupBy("d1", "d2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("_n")).where("first <> last").drop("last")
+    first = cut(first)
+    again = lookup(found, first.drop("_n"), ["d1", "d2"], ["doc_id", "start"], counts=first.select("d1", "d2", "_n"), most=TRAVEL)
+    return again.where("doc_id > first").select("doc_id", "tag", "start", "stop")
 
 
 def _cover(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int]:

@@ -82,5 +82,5 @@ def test_words_decide(spark):
     words = [[f"{k}w{i}" for i in range(60)] for k in range(2)]
     texts = spark.createDataFrame([(1, 0, " ".join(words[0])), (2, 0, " ".join(words[1])), (3, 0, "\n".join(words[0]))], "doc_id long, tag long, text string")
     marks = spark.createDataFrame([(i, 0, [(0, 0, 60)]) for i in (1, 2, 3)], "doc_id long, tag long, marks array<struct<at: int, start: int, stop: int>>")
-    got = {r.doc_id: bytes(r.digest) for r in proposals(texts, marks).where("start = 0 AND stop = 60").collect()}
-    assert got[1] == got[3] != got[2]
+    got = {r.doc_id: (list(r.start), list(r.stop), list(r.d1), list(r.d2)) for r in proposals(texts, marks).collect()}
+    assert got[1] == got[3] and got[1][:2] == got[2][:2] == ([0], [60]) and got[1][2] != got[2][2] and got[1][3] != got[2][3]
